@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import decontam, mix, simhash
+from corpusq.llm import decontam, licenses, mix, simhash
 from corpusq.llm.common import table
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased, as DuckDB SQL.
@@ -40,10 +40,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.report(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix.mix(table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op6_mix": op6_mix}
-ORACLE = {"op1_decontaminate": OP1, "op6_mix": mix.SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op6_mix": op6_mix}
+ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL}
