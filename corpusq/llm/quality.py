@@ -1,15 +1,16 @@
 """Quality classifier with supervised subword embeddings.
 
 Features of a text (A-Z lower-cased): its words ``[^\\x20\\x09-\\x0D]+`` and the byte n-grams of sizes ``NGRAMS``
-over the whole text, hashed to ``2 ** bits`` buckets.  Each bucket has a learned vector; a document is the average of
-its features' vectors, and a softmax over two classes gives the score of label 1.  Vectors and output weights are
+over the whole text, hashed to ``2 ** bits`` buckets, and a mark for every word that repeats the one or two words
+before.  Each bucket has a learned vector; a document is the average of its features' vectors and of ``PAD`` zero
+vectors, which keep few features from deciding much, and a softmax over two classes gives the score of label 1.  Vectors and output weights are
 trained by stochastic gradient descent in numpy.
 
 The classifier is fitted on a bounded sample of labelled rows: of each label at most about ``per_label`` documents,
 taken by the hash of doc_id, and of these at most ``features`` distinct features each, the most frequent.  A trained
 document score is a weighted mean of one number a bucket, so scoring gathers one float a feature and moves no rows.
 
-Defined cases: a null or empty text has no features and gets the score of the training sample's label shares; with no
+Defined cases: a null or empty text has no features and gets the score of the learned bias alone; with no
 labelled rows every score is 0.5; null labels and labels other than 0 and 1 are ignored, and of several labels of a
 doc_id the largest counts; repeated documents are separate rows; extra columns are ignored.
 """
@@ -26,14 +27,13 @@ from pyspark.sql import functions as F
 from corpusq.llm import text as T
 from corpusq.llm.common import fold, prepare
 
-BITS, DIM, NGRAMS, PER_LABEL, FEATURES, EPOCHS, RATE, SEED = 18, 16, (2, 3, 4), 1500, 4096, 6, 0.5, 17
+BITS, DIM, NGRAMS, PER_LABEL, FEATURES, EPOCHS, RATE, SEED, PAD = 18, 16, (2, 3, 4), 1500, 4096, 6, 0.5, 17, 100
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # one number a bucket
     bias: float
-    prior: float  # logit of an empty text
     bits: int
 
 
@@ -44,6 +44,10 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     shift = np.uint64(64 - bits)
     ids = [(T.hash_spans(buf, starts, ends) >> shift).astype(np.int32)]
     owner = [np.repeat(np.arange(docs, dtype=np.int32), np.diff(cum))]
+    for back in (1, 2):
+        again = np.flatnonzero((ids[0][back:] == ids[0][:-back]) & (owner[0][back:] == owner[0][:-back])) + back
+        ids.append(np.full(len(again), back, np.int32))
+        owner.append(owner[0][again])
     low = T.LOWER[buf].astype(np.uint32)
     doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(offsets))
     for n in NGRAMS:
@@ -88,9 +92,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim:
     vectors = (rng.random((1 << bits, dim), np.float32) - 0.5) / dim
     out = np.zeros((2, dim), np.float32)
     bias = np.zeros(2, np.float32)
-    rows = [(y, i, (c / c.sum()).astype(np.float32)) for y, i, c in rows if len(i)]
-    ones = sum(y for y, _, _ in rows)
-    prior = float(np.log((ones + 1) / (len(rows) - ones + 1)))
+    rows = [(y, i, (c / (c.sum() + PAD)).astype(np.float32)) for y, i, c in rows if len(i)]
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
@@ -109,7 +111,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim:
             # As each feature's step is shared by all of the document's, it is scaled up to the document's size.
             vectors[ids] = own - (lr * min(len(ids), 64)) * share[:, None] * back[None, :]
     direction = out[1] - out[0]
-    return Model((vectors @ direction).astype(np.float32), float(bias[1] - bias[0]) if rows else 0.0, prior if rows else 0.0, bits)
+    return Model((vectors @ direction).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, folds: int = 3, held: int = 1) -> DataFrame:
@@ -143,7 +145,7 @@ def _score(sent) -> callable:
                 f, owner = features(buf, offsets, model.bits)
                 n = np.bincount(owner, minlength=b - a)
                 s = np.bincount(owner, model.weight[f].astype(np.float64), minlength=b - a)
-                z = np.where(n > 0, s / np.maximum(n, 1) + model.bias, model.prior)
+                z = s / (n + PAD) + model.bias
                 found.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found))], ["row", "score"])
 
