@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import decontam, langid, licenses, mix, quality, simhash, sketch
+from corpusq.llm import decontam, langid, licenses, lm, mix, quality, simhash, sketch
 from corpusq.llm.common import table
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased, as DuckDB SQL.
@@ -58,9 +58,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op10_quality": op10_quality}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op8_lm": op8_lm, "op10_quality": op10_quality}
 ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL}
