@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import decontam, langid, licenses, lm, mix, quality, simhash, sketch
+from corpusq.llm import decontam, langid, licenses, lm, mix, quality, simhash, sketch, substring, tokens
 from corpusq.llm.common import table
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased, as DuckDB SQL.
@@ -58,13 +58,35 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(table(spark, sf_dir, "documents"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op8_lm": op8_lm, "op10_quality": op10_quality}
-ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL}
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {SQL_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT r, doc_id, k, array_to_string(w[k + 1 : k + 50], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(0, len(w) - 49)) AS k FROM d WHERE len(w) >= 50)),
+s AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(DISTINCT r) > 1),
+h AS (SELECT r, k, least FROM g JOIN s USING (g)),
+p AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS p FROM h),
+i AS (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM p),
+spans AS (SELECT r, island, min(p) AS a, max(p) AS b FROM i GROUP BY r, island),
+t AS (SELECT r, sum(b - a + 1)::BIGINT AS n_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY r),
+c AS (SELECT text, count(*) AS copies FROM documents GROUP BY text),
+l AS (SELECT r, min(least) AS first_doc_id FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, n_repeated, copies, first_doc_id, spans FROM d JOIN t USING (r) JOIN l USING (r) JOIN c USING (text)
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_tokens": op7_tokens, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_quality": op10_quality}
+ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL, "op9_substring": OP9}
