@@ -205,7 +205,8 @@ def classes(documents: DataFrame, *keep: Column, bits: int = BITS, pivots: int =
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = member.join(least, "root").select("fp", "component_id")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(named, "fp")
+    # From the checkpoint, both sides of the join are plain exchanges, so that a hot fingerprint can be split.
+    return docs.join(cut(named), "fp")
 
 
 def hex16(fp: Column) -> Column:
