@@ -129,8 +129,14 @@ def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", per_
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, bits: int = BITS, most: int = FEATURES, **options) -> Model:
     prepare(documents.sparkSession)
-    rows = sample(documents, labels, label, per_label).mapInArrow(_counts(bits, most), "label int, ids array<int>, counts array<int>").toArrow()
-    got = sorted(zip(rows["label"].to_pylist(), (np.array(x, np.int32) for x in rows["ids"].to_pylist()), (np.array(x, np.int32) for x in rows["counts"].to_pylist())), key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
+    rows = sample(documents, labels, label, per_label).mapInArrow(_counts(bits, most), "label int, ids array<int>, counts array<int>").toArrow().combine_chunks()
+    y = rows["label"].to_numpy()
+    if not len(y):
+        return train([], bits, **options)
+    (ids, cuts), (counts, _) = ((c.flatten().to_numpy(), c.offsets.to_numpy()) for c in (rows[n].combine_chunks() for n in ("ids", "counts")))
+    cuts = cuts - cuts[0]
+    got = [(int(y[i]), ids[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in range(len(y))]
+    got.sort(key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
     return train(got, bits, **options)
 
 
