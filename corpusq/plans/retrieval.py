@@ -9,6 +9,10 @@ from corpusq.functions.text import query_terms, snippet
 from corpusq.operators import bm25, fusion, vectors
 
 
+def by_score() -> tuple:
+    return F.round("score", 9).desc(), "chunk_id"
+
+
 def lists(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list[float], terms: list[str], k: int, profile: str, dirs: list[str] | None) -> tuple[DataFrame, DataFrame]:
     """The vector list (chunk_id, score) and the keyword list, k rows each."""
     where = None if dirs is None else F.col("dir_id").isin(*dirs)
@@ -36,16 +40,16 @@ def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list
         out = best.join(chunks.select("chunk_id", "file_id", "content"), "chunk_id")
         if status is not None:
             out = out.join(status.where(F.col("status") == "indexed").select("file_id"), "file_id", "left_semi")
-        return out.select("file_id", "chunk_id", "score", "sources", "content")
+        return out.select("file_id", "chunk_id", "score", "sources", "content").orderBy(*by_score())
     order = F.row_number().over(fusion.Window.orderBy(F.round("score", 9).desc(), F.col("tie")))
     items = fused.withColumn("ord", order).join(chunks.select("chunk_id", F.col("file_id").alias("file_key")), "chunk_id")
     files = fusion.group_by_file(items, top_k=top_k)
     if not (reselect and profile == "local"):
-        return files.join(chunks.select("chunk_id", "content"), "chunk_id").select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content")
+        return files.join(chunks.select("chunk_id", "content"), "chunk_id").select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content").orderBy(*by_score())
     phrases = [p for p in (keyword, query) if p]
     found = items.join(words.select("chunk_id", F.lit(True).alias("hit")), "chunk_id", "left")
     texts = found.join(chunks.select("chunk_id", "content"), "chunk_id").select("chunk_id", "content", "score", (F.lit(keyword is not None) & F.coalesce("hit", F.lit(False))).alias("has_snippet"))
     best = fusion.reselect(files, texts, phrases, query_terms(query))
     out = best.join(files.select("file_key", "chunk_hits", "sources"), "file_key").join(chunks.select("chunk_id", "content"), "chunk_id")
     out = out.withColumn("snippet", snippet(F.col("content"), F.lit(keyword or query)))
-    return out.select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content", "snippet")
+    return out.select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content", "snippet").orderBy(*by_score())
