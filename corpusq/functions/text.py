@@ -36,8 +36,9 @@ def tokens(text: Column, style: str = "index") -> Column:
         words = F.flatten(F.transform(words, cut))
     else:
         words = F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(0))
-    stop = F.array(*map(F.lit, LIBRARY_STOP_WORDS if style == "library" else STOP_WORDS))
-    return F.filter(words, lambda t: ~t.rlike("^[a-z0-9]$") & ~F.array_contains(stop, t))
+    stop = LIBRARY_STOP_WORDS if style == "library" else STOP_WORDS
+    # A set lookup; the pattern is only tried on single characters.
+    return F.filter(words, lambda t: ((F.length(t) > 1) | ~t.rlike("^[a-z0-9]$")) & ~t.isin(*stop))
 
 
 def lines(text: Column) -> Column:

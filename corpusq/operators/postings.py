@@ -26,6 +26,12 @@ def build(chunks: DataFrame, style: str = "index") -> DataFrame:
     return found.join(sizes, "file_id")
 
 
+def lengths(chunks: DataFrame, style: str = "index", unit: str = "file_id") -> DataFrame:
+    """(unit, dir_id, length) of all files (or chunks) that have a token."""
+    sizes = chunks.select(unit, "dir_id", F.size(tokens(F.col("content"), style)).cast("bigint").alias("n"))
+    return sizes.groupBy(unit, "dir_id").agg(F.sum("n").alias("length")).where("length > 0")
+
+
 def per_file(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "file_id").agg(F.sum("tf").alias("tf_sum"), F.count_distinct("chunk_id").alias("chunk_count"), F.max("doc_length").alias("doc_length"))
 

@@ -13,11 +13,11 @@ def by_score() -> tuple:
     return F.round("score", 9).desc(), "chunk_id"
 
 
-def lists(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list[float], terms: list[str], k: int, profile: str, dirs: list[str] | None) -> tuple[DataFrame, DataFrame]:
+def lists(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list[float], terms: list[str], k: int, profile: str, dirs: list[str] | None, lengths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The vector list (chunk_id, score) and the keyword list, k rows each."""
     where = None if dirs is None else F.col("dir_id").isin(*dirs)
     near = vectors.knn(vecs, vector, k, "cosine", "cloud" if profile == "cloud" else "local", where, key="chunk_id").select("chunk_id", "score")
-    words = bm25.search(postings, terms, profile, dirs, k).select("chunk_id", "score")
+    words = bm25.search(postings, terms, profile, dirs, k, lengths).select("chunk_id", "score")
     return near, words
 
 
@@ -26,14 +26,14 @@ def fuse(near: DataFrame, words: DataFrame) -> DataFrame:
     return fusion.rrf(both).withColumnRenamed("id", "chunk_id")
 
 
-def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list[float], query: str, terms: list[str], top_k: int = 10, profile: str = "local", dirs: list[str] | None = None, keyword: str | None = None, reselect: bool = True, status: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list[float], query: str, terms: list[str], top_k: int = 10, profile: str = "local", dirs: list[str] | None = None, keyword: str | None = None, reselect: bool = True, status: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """Best files (``local``, ``library``) or chunks (``cloud``) with their text.
 
     ``local``: three times top_k rows a list, fused, grouped by file, and the representative chosen anew by bonus.
     ``library``: twice top_k, grouped, no new choice.  ``cloud``: twice top_k, chunks, and the status filter after the cut.
     """
     k = top_k * (3 if profile == "local" else 2)
-    near, words = lists(chunks, postings, vecs, vector, terms, k, profile, dirs)
+    near, words = lists(chunks, postings, vecs, vector, terms, k, profile, dirs, lengths)
     fused = fuse(near, words)
     if profile == "cloud":
         best = fused.orderBy(F.round("score", 9).desc(), F.col("tie")).limit(top_k)

@@ -111,7 +111,9 @@ def scope_stats(spark, d):
 
 def _bm25(spark, d, terms, profile="local", dirs=None):
     style = "index" if profile == "local" else profile
-    return bm25.search(P.build(conversations_as_chunks(spark, d), style), terms, profile, dirs).withColumn("score", F.round("score", 6))
+    chunks = conversations_as_chunks(spark, d)
+    sizes = P.lengths(chunks, style, "chunk_id" if profile == "library" else "file_id")
+    return bm25.search(P.build(chunks, style), terms, profile, dirs, lengths=sizes).withColumn("score", F.round("score", 6))
 
 
 def sql_bm25_rows(*args) -> str:
@@ -149,7 +151,8 @@ def sql_doc_bm25_top(k: int) -> str:
 
 @query(sql_doc_bm25_top(20))
 def bm25_top_documents(spark, d):
-    return bm25.search(P.build(documents_as_chunks(spark, d)), DOC_TERMS, top_k=20).select("chunk_id", F.round("score", 6).alias("score"))
+    chunks = documents_as_chunks(spark, d)
+    return bm25.search(P.build(chunks), DOC_TERMS, top_k=20, lengths=P.lengths(chunks)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 BENCH_TOKENS = f"q AS (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark), qw AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY ALL)"
@@ -246,12 +249,12 @@ ord AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, tie) AS ord
 def _parts(spark, d, style="index"):
     chunks = documents_as_chunks(spark, d)
     vecs = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding").join(chunks.select("chunk_id", "dir_id"), "chunk_id")
-    return chunks, P.build(chunks, style), vecs
+    return chunks, P.build(chunks, style), vecs, P.lengths(chunks, style, "chunk_id" if style == "library" else "file_id")
 
 
 def _fused(spark, d, k, profile="local", dirs=None):
-    chunks, postings, vecs = _parts(spark, d, "index" if profile == "local" else profile)
-    near, words = retrieval.lists(chunks, postings, vecs, _vector(spark, d), DOC_TERMS, k, profile, dirs)
+    chunks, postings, vecs, sizes = _parts(spark, d, "index" if profile == "local" else profile)
+    near, words = retrieval.lists(chunks, postings, vecs, _vector(spark, d), DOC_TERMS, k, profile, dirs, sizes)
     return retrieval.fuse(near, words)
 
 
@@ -267,8 +270,8 @@ def rrf_sources(spark, d):
 
 @query(f"""WITH {sql_lists(30)} SELECT coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.rank AS vector_rank, k.rank AS keyword_rank FROM vl v FULL OUTER JOIN kl k ON v.chunk_id = k.chunk_id""")
 def fusion_full_outer(spark, d):
-    chunks, postings, vecs = _parts(spark, d)
-    near, words = retrieval.lists(chunks, postings, vecs, _vector(spark, d), DOC_TERMS, 30, "local", None)
+    chunks, postings, vecs, sizes = _parts(spark, d)
+    near, words = retrieval.lists(chunks, postings, vecs, _vector(spark, d), DOC_TERMS, 30, "local", None, sizes)
     v = fusion.ranked(near, "vector", 0, "chunk_id").select(F.col("id").alias("chunk_id"), F.col("rank").alias("vector_rank"))
     k = fusion.ranked(words, "keyword", 1, "chunk_id").select(F.col("id").alias("chunk_id"), F.col("rank").alias("keyword_rank"))
     return v.join(k, "chunk_id", "full_outer")
@@ -328,21 +331,21 @@ def representative_bonus(spark, d):
 g AS (SELECT file_id, score, ord FROM it ORDER BY round(score, 9) DESC, ord LIMIT 10)
 SELECT it.file_id, it.chunk_id, round(it.score + {sql_bonus(['attion', 'thing'], ['attion', 'attion thing'], 'hit')}, 6) AS score, len(content) AS n_chars FROM it JOIN g USING (file_id)""")
 def hybrid_search_local(spark, d):
-    chunks, postings, vecs = _parts(spark, d)
-    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "attion thing", DOC_TERMS, 10, keyword="attion")
+    chunks, postings, vecs, sizes = _parts(spark, d)
+    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "attion thing", DOC_TERMS, 10, keyword="attion", lengths=sizes)
     return out.select("file_id", "chunk_id", F.round("score", 6).alias("score"), F.length("content").alias("n_chars"))
 
 
 @query(f"""WITH {sql_lists(20, 'cosine', 'library')} SELECT c.file_id, o.chunk_id, round(score, 6) AS score, array_to_string(sources, ',') AS sources FROM ord o JOIN chunks c USING (chunk_id) WHERE ord <= 10""")
 def hybrid_search_library(spark, d):
-    chunks, postings, vecs = _parts(spark, d, "library")
-    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "", DOC_TERMS, 10, "library")
+    chunks, postings, vecs, sizes = _parts(spark, d, "library")
+    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "", DOC_TERMS, 10, "library", lengths=sizes)
     return out.select("file_id", "chunk_id", F.round("score", 6).alias("score"), F.reverse("sources").alias("s")).select("file_id", "chunk_id", "score", F.array_join("s", ",").alias("sources"))
 
 
 @query(f"""WITH {sql_lists(20, 'cloud', 'cloud')} SELECT c.file_id, o.chunk_id, round(score, 6) AS score, array_to_string(sources, ',') AS sources FROM ord o JOIN chunks c USING (chunk_id) JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.file_id WHERE ord <= 10 AND l.quality = 1""")
 def hybrid_search_cloud(spark, d):
-    chunks, postings, vecs = _parts(spark, d, "cloud")
+    chunks, postings, vecs, sizes = _parts(spark, d, "cloud")
     status = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("file_id"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("status"))
-    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "", DOC_TERMS, 10, "cloud", status=status)
+    out = retrieval.search(chunks, postings, vecs, _vector(spark, d), "", DOC_TERMS, 10, "cloud", status=status, lengths=sizes)
     return out.select("file_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
