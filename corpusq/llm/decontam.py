@@ -133,7 +133,9 @@ def _match(blocks: list) -> callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        block = blocks[0].value
+        # Plain values are broadcast; executors need not have this package.
+        block = Block.__new__(Block)
+        block.__dict__.update(blocks[0].value)
         sieves = {m: sieve(t[0]) for m, t in block.tables.items() if m < block.window} | {0: sieve(block.kept)}
         for batch in batches:
             n_words, spans, items = [], [], []
@@ -201,9 +203,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     found_schema = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
     schema = f"row {docs.schema['row'].dataType.simpleString()}, {found_schema}"
     found = None
-    sent = [spark.sparkContext.broadcast(block) for block in blocks_of(benchmark, window, gram, block_chars)]
+    sent = [spark.sparkContext.broadcast(vars(block)) for block in blocks_of(benchmark, window, gram, block_chars)]
     if not sent:
-        sent.append(spark.sparkContext.broadcast(Block([], [], window, gram)))
+        sent.append(spark.sparkContext.broadcast(vars(Block([], [], window, gram))))
     if len(sent) == 1:
         return docs.mapInArrow(_match(sent), schema)
     # More than one block: rows get an identity that survives in the checkpoint, and each block's hits are merged by it.

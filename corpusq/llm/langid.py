@@ -48,7 +48,7 @@ def _predict(sent) -> callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = sent.value
+        model = ppm.Model(**sent.value)
         states = model.states()
         for batch in batches:
             column = batch.column("text")
@@ -78,7 +78,7 @@ def predict(documents: DataFrame, model: ppm.Model, *keep: Column) -> DataFrame:
     """(row, lang_pred, score) for every document; row is a struct of the kept columns."""
     spark = prepare(documents.sparkSession)
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"row {docs.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(vars(model))), f"row {docs.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def report(documents: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

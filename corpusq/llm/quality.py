@@ -144,7 +144,7 @@ def _score(sent) -> callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = sent.value
+        model = Model(**sent.value)
         for batch in batches:
             found = [np.zeros(0)]
             for a, b, buf, offsets in T.text_slices(batch.column("text")):
@@ -162,7 +162,7 @@ def score(documents: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """(row, score) for every document; row is a struct of the kept columns."""
     spark = prepare(documents.sparkSession)
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"row {docs.schema['row'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))), f"row {docs.schema['row'].dataType.simpleString()}, score double")
 
 
 def report(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
