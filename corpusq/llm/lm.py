@@ -9,6 +9,11 @@ frequent words, about ``HEAD`` at most, are broadcast and looked up where the te
 words are shuffled, joined with their counts and summed up by document, so no key is hot: a word frequent in the
 training texts is never shuffled.
 
+The tree grows with the training texts in the same way.  All contexts of orders 0 to 2, at most 65793 whatever the
+corpus, and the most frequent ones of order 3, about ``CONTEXTS`` at most, are broadcast.  A document's symbols in other
+order-3 contexts are shuffled, once each with their number, and joined with their costs, which are taken from the
+counts of all contexts.
+
 Defined cases: a null or empty text is its end token alone; a document of null doc_id is scored, not learned from;
 with nothing learned every symbol costs 8 bits and V = N = 0; repeated documents are separate rows; extra columns
 are ignored.
@@ -27,6 +32,7 @@ from corpusq.llm import text as T
 from corpusq.llm.common import cut, fold, prepare
 
 HEAD = 1 << 20
+CONTEXTS = ppm.ORDER3
 LOG2 = float(np.log10(2))
 
 
@@ -49,7 +55,10 @@ def _counts(batches: Iterator) -> Iterator:
 
 
 def _score(sent, total: int, distinct: int, ends: int) -> callable:
-    """(row, text) to (row, at, n_tokens, known, base, score, rest): rest holds the hashes of words outside the head."""
+    """(row, text) to (row, at, n_tokens, known, base, score, rest, far).
+
+    rest holds the hashes of words outside the head, far the symbols (with their contexts) outside the tree.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -58,11 +67,12 @@ def _score(sent, total: int, distinct: int, ends: int) -> callable:
         state, keys, counts = sent.value
         model = ppm.Model(**state)
         states = model.states()
+        deep = 257 + len(model.two)
         logs = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
         end = float(np.log10((ends + 0.1) / (total + 0.1 * (distinct + 1))))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, known, base, score, rest = [], [], [], [], []
+            n, known, base, score, rest, far = [], [], [], [], [], []
             for a, b, buf, offsets in T.text_slices(batch.column("text")):
                 docs = b - a
                 starts, stops, cum = T.spans(buf, offsets, T.NONSPACE)
@@ -78,13 +88,22 @@ def _score(sent, total: int, distinct: int, ends: int) -> callable:
                 out = np.flatnonzero(~inside)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=docs))]).astype(np.int32)
                 rest.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(words[back[out]].view(np.int64))))
-                score.append(-LOG2 * ppm.lengths(model, states, buf, offsets)[0])
+                code, edges = ppm.codes(buf, offsets)
+                node = states[code >> np.uint32(8)].astype(np.int64)
+                cost = np.where(node >= deep, model.cost[0][node << 8 | (code & np.uint32(255))].astype(np.float64), 0.0)
+                score.append(-LOG2 * np.add.reduceat(cost, edges[:-1]))
+                out = np.flatnonzero(node < deep)
+                doc = np.searchsorted(edges, out, "right") - 1
+                pairs, times = np.unique(doc.astype(np.uint64) << np.uint64(32) | code[out], return_counts=True)
+                cuts = np.searchsorted(pairs, np.arange(docs + 1).astype(np.uint64) << np.uint64(32)).astype(np.int32)
+                symbols = [pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(times.astype(np.int64))]
+                far.append(pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(symbols, ["code", "n"])))
             if not n:
                 continue
             ids = row + np.arange(batch.num_rows)
             row += batch.num_rows
             cols = [np.concatenate(x) for x in (n, known, base, score)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids), *(pa.array(c) for c in cols), pa.concat_arrays(rest)], ["row", "at", "n_tokens", "known", "base", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids), *(pa.array(c) for c in cols), pa.concat_arrays(rest), pa.concat_arrays(far)], ["row", "at", "n_tokens", "known", "base", "score", "rest", "far"])
 
     return run
 
@@ -96,7 +115,7 @@ def learn(training: DataFrame) -> DataFrame:
     return cut(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def scores(documents: DataFrame, training: DataFrame, *keep: Column, head: int = HEAD) -> DataFrame:
+def scores(documents: DataFrame, training: DataFrame, *keep: Column, head: int = HEAD, contexts: int = CONTEXTS) -> DataFrame:
     """(row, n_tokens, n_known, train_tokens, base_score, score) for every document; row is a struct of the kept columns."""
     spark = prepare(documents.sparkSession)
     counts = learn(training)
@@ -107,19 +126,26 @@ def scores(documents: DataFrame, training: DataFrame, *keep: Column, head: int =
     table = ppm.frequent(words.withColumn("total", F.col("n")), head).toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = ppm.build(counts.where("kind = 1").select(F.lit("").alias("label"), F.col("key").alias("code"), "n"))
-    sent = spark.sparkContext.broadcast((vars(model), keys[order], table["n"].to_numpy()[order]))
+    symbols = counts.where("kind = 1").select(F.lit("").alias("label"), F.col("key").alias("code"), "n")
+    model = ppm.build(symbols, contexts, ppm.ALL2, keep=True)
+    sent = spark.sparkContext.broadcast((vars(model) | {"seen": None}, keys[order], table["n"].to_numpy()[order]))
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, at bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>"
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, at bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, far array<struct<code:bigint,n:bigint>>"
     docs = cut(docs.mapInArrow(_score(sent, total, distinct, ends), schema))
     rest = docs.select("at", F.explode("rest").alias("key")).join(words, "key", "left")
     cost = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (total + 0.1 * (distinct + 1)))
     rest = rest.groupBy("at").agg(F.sum(cost).alias("more"), F.count("n").alias("seen"))
-    out = docs.drop("rest").join(rest, "at", "left")
-    return out.select("row", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-
-
-def report(documents: DataFrame, folds: int = 10, held: int = 0, head: int = HEAD) -> DataFrame:
-    got = scores(documents, documents.where(fold("doc_id", folds) != held), head=head)
+    far = docs.select("at", F.explode("far").alias("f")).select("at", "f.code", "f.n")
+    context = F.shiftright("code", 8).alias("context")
+    follow = symbols.groupBy(context).agg(F.collect_list(F.struct(F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n")).alias("next"))
+    asked = far.select("code").distinct().withColumn("context", context).join(follow, "context", "left").select("code", "next")
+    costs = cut(asked.mapInArrow(ppm.beyond(spark.sparkContext.broadcast((model.two, model.seen))), "code bigint, bits double"))
+    far = far.join(costs, "code").groupBy("at").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    out = docs.drop("rest", "far").join(rest, "at", "left").join(far, "at", "left")
+    return out.select("row", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") - LOG2 * F.coalesce("bits", F.lit(0.0))).alias("score"))
+
+
+def report(documents: DataFrame, folds: int = 10, held: int = 0, head: int = HEAD, contexts: int = CONTEXTS) -> DataFrame:
+    got = scores(documents, documents.where(fold("doc_id", folds) != held), head=head, contexts=contexts)
     doc_id = F.col("row.doc_id")
     return got.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id, folds) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -7,7 +7,9 @@ longer ones are excluded; at last the symbols never seen share what is left even
 depends on the deepest context and the symbol only, so it is tabulated once: scoring is two gathers a byte.
 
 The tree holds the most frequent contexts of each order, as many as the given bounds allow; a context outside it
-falls back to the next shorter one.  Counts are taken over all training texts, whatever the tree's size.
+falls back to the next shorter one.  Counts are taken over all training texts, whatever the tree's size.  With
+``order2`` at ``ALL2`` the tree has every order-2 context there can be, and ``beyond`` gives the exact cost of symbols
+in the order-3 contexts outside it, from a table of their counts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from corpusq.llm import text as T
 from corpusq.llm.common import cut
 
 ORDER3, ORDER2 = 24000, 8000
+ALL2 = 1 << 16
 
 
 @dataclass
@@ -31,14 +34,16 @@ class Model:
     two: np.ndarray  # order-2 contexts, as 16-bit codes
     three: np.ndarray  # order-3 contexts, as 24-bit codes
     cost: np.ndarray  # bits, (labels, nodes * 256); nodes: root, 256 of order 1, two, three
+    seen: np.ndarray | None = None  # counts of the last label in the nodes of orders 0 to 2, if they are asked for
 
     def states(self) -> np.ndarray:
         """Deepest node of every three bytes."""
-        out = np.empty((256, 65536), np.uint16)
-        out[:] = np.tile(np.arange(1, 257, dtype=np.uint16), 256)[None, :]
-        out[:, self.two] = np.arange(257, 257 + len(self.two), dtype=np.uint16)[None, :]
+        kind = np.uint16 if 257 + len(self.two) + len(self.three) <= 1 << 16 else np.uint32
+        out = np.empty((256, 65536), kind)
+        out[:] = np.tile(np.arange(1, 257, dtype=kind), 256)[None, :]
+        out[:, self.two] = np.arange(257, 257 + len(self.two), dtype=kind)[None, :]
         out = out.reshape(-1)
-        out[self.three] = np.arange(257 + len(self.two), 257 + len(self.two) + len(self.three), dtype=np.uint16)
+        out[self.three] = np.arange(257 + len(self.two), 257 + len(self.two) + len(self.three), dtype=kind)
         return out
 
 
@@ -103,8 +108,16 @@ def frequent(totals: DataFrame, most: int) -> DataFrame:
     return totals.where(step >= least).drop("total")
 
 
-def build(counts: DataFrame, order3: int = ORDER3, order2: int = ORDER2) -> Model:
-    """The tabulated model of counts (label, code, n): one row per label and code."""
+def suffix(two: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Node of the longest context of order 1 or 2 that ends each context."""
+    if not len(two):
+        return 1 + (context & 255)
+    place = np.minimum(np.searchsorted(two, context & 65535), len(two) - 1)
+    return np.where(two[place] == context & 65535, 257 + place, 1 + (context & 255))
+
+
+def build(counts: DataFrame, order3: int = ORDER3, order2: int = ORDER2, keep: bool = False) -> Model:
+    """The tabulated model of counts (label, code, n): one row per label and code; keep: with ``seen``."""
     code = F.col("code")
     sums = {}
     for order, width in ((1, 16), (2, 24), (3, 32)):
@@ -129,31 +142,32 @@ def build(counts: DataFrame, order3: int = ORDER3, order2: int = ORDER2) -> Mode
     shorter = np.zeros(nodes, np.int64)
     shorter[0] = -1
     shorter[257 : 257 + len(two)] = 1 + (two & 255)
-    place = np.searchsorted(two, three & 65535)
-    held = (place < len(two)) & (two[np.minimum(place, max(0, len(two) - 1))] == three & 65535) if len(two) else np.zeros(len(three), bool)
-    shorter[257 + len(two) :] = np.where(held, 257 + place, 1 + (three & 255))
+    shorter[257 + len(two) :] = suffix(two, three)
     for i in range(max(1, len(labels))):
-        seen = np.zeros((nodes, 256), np.uint32)
+        seen = np.zeros((nodes, 256), np.int64)
         for order, base in ((1, None), (2, two), (3, three)):
             where, c, n = got[order]
             c, n = c[where == i], n[where == i]
             row = 1 + (c >> 8) if order == 1 else (257 if order == 2 else 257 + len(two)) + np.searchsorted(base, c >> 8)
-            seen[row, c & 255] = np.minimum(n, (1 << 32) - 1)
-        total = seen[1:257].astype(np.int64).sum(axis=0)
-        seen[0] = np.minimum(total, (1 << 32) - 1)
+            seen[row, c & 255] = n
+        seen[0] = seen[1:257].sum(axis=0)
         for a in range(0, nodes, 2048):
             cost[i, a * 256 : (a + 2048) * 256] = bits(seen, shorter, np.arange(a, min(a + 2048, nodes))).reshape(-1)
-    return Model(labels, two, three, cost)
+    return Model(labels, two, three, cost, seen[: 257 + len(two)].copy() if keep else None)
+
 
+def bits(seen: np.ndarray, shorter: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Code length of every symbol in the contexts ``rows``, with exclusion of what longer contexts have seen.
 
-def bits(seen: np.ndarray, shorter: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Code length of every symbol in the contexts ``rows``, with exclusion of what longer contexts have seen."""
+    own: counts of longer contexts, one each, that stand before ``rows``.
+    """
     out = np.zeros((len(rows), 256))
     out_of = np.zeros((len(rows), 256), bool)
     left = np.ones(len(rows))
     at = rows.copy()
     while np.any(at >= 0):
-        n = np.where((at >= 0)[:, None] & ~out_of, seen[np.maximum(at, 0)], 0).astype(np.float64)
+        n = np.where((at >= 0)[:, None], seen[np.maximum(at, 0)], 0) if own is None else own
+        n = np.where(out_of, 0, n).astype(np.float64)
         new = n > 0
         total, kinds = n.sum(axis=1), new.sum(axis=1)
         all_out = out_of | new
@@ -162,12 +176,39 @@ def bits(seen: np.ndarray, shorter: np.ndarray, rows: np.ndarray) -> np.ndarray:
         out += n * share[:, None]
         left = np.where(kinds > 0, share * escape, left)
         out_of = all_out
-        at = np.where(at >= 0, shorter[np.maximum(at, 0)], -1)
+        if own is None:
+            at = np.where(at >= 0, shorter[np.maximum(at, 0)], -1)
+        own = None
     rest = 256 - out_of.sum(axis=1)
     out += ~out_of * (left / np.maximum(rest, 1))[:, None]
     return -np.log2(np.maximum(out, 1e-300))
 
 
+def beyond(sent) -> callable:
+    """(code, next) to (code, bits): next has the (symbol, n) seen in the code's order-3 context, null if there are none.
+
+    sent: two and seen of a model that has all order-2 contexts.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        two, seen = sent.value
+        shorter = np.zeros(len(seen), np.int64)
+        shorter[0] = -1
+        shorter[257:] = 1 + (two & 255)
+        for batch in batches:
+            code, follow = batch.column("code").to_numpy(), batch.column("next")
+            own = np.zeros((len(code), 256), np.int64)
+            flat = follow.flatten()
+            row = np.repeat(np.arange(len(code)), follow.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            own[row, flat.field("symbol").to_numpy()] = flat.field("n").to_numpy()
+            cost = bits(seen, shorter, suffix(two, code >> 8), own)[np.arange(len(code)), code & 255]
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(cost)], ["code", "bits"])
+
+    return run
+
+
 def lengths(model: Model, states: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code length in bits of every document of a slice under every label: (labels, documents)."""
     code, cuts = codes(buf, offsets)
