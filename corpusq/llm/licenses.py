@@ -142,6 +142,11 @@ LONE = (
 )
 
 
+#: Words that patterns match where they allow no space after a keyword.  Only ``scan`` opens its gate by them: the
+#: registered SQL has the keywords alone and misses such texts.
+GLUED = {"gpl": "gpl1|gpl2|gpl3|gplversion", "agpl": "agpl3|agplversion"}
+
+
 def wide(pattern: str) -> str:
     """A pattern over words as one over `` w0  w1  w2 ``, where every word has a space of its own on either side."""
     return f" (?:{pattern.replace(' ?', '(?:__)?').replace(' ', '__').replace('__', '  ')}) "
@@ -157,9 +162,15 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return [(label, "|".join(f" {k} " for k in keyword.split("|")), wide(pattern), priority, weight) for label, keyword, pattern, priority, weight in found]
 
 
+def gate(keywords: str) -> str:
+    """The keywords of ``rules`` with the words that ``GLUED`` adds to them."""
+    more = [f" {w} " for k in keywords.split("|") for w in GLUED.get(k.strip(), "").split("|") if w]
+    return "|".join([keywords, *more])
+
+
 SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every rule and base phrase implies a match of this on the raw text.
-PREFILTER = rf"(?i)licen[cs]|gpl|cc{SEP}by|(?<![a-zA-Z0-9])(?:cc0|mpl|epl|eupl|cddl)|public{SEP}domain|hereby|redistribution|endorse|rights{SEP}reserved|proprietary|commons|mozilla"
+PREFILTER = rf"(?i)licen[cs]|gpl|cc{SEP}by|(?<![a-zA-Z0-9])(?:cc0|mpl|epl|eupl|cddl)|public{SEP}domain|hereby|redistribution|endorse|rights{SEP}reserved|proprietary|commons|mozilla|asl{SEP}2{SEP}0|mit{SEP}no{SEP}attribution"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -190,12 +201,12 @@ def scan(documents: DataFrame, *keep: Column) -> DataFrame:
     # One space before and after every word.
     norm = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lower_ascii(F.col("gated")), F.lit(f"({WORD})"), F.lit(0)), "  "), F.lit(" "))
     docs = docs.withColumn("norm", norm)
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight")) for i, (label, key, pattern, priority, weight) in enumerate(rules())])
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(gate(key)).alias("key"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight")) for i, (label, key, pattern, priority, weight) in enumerate(rules())])
     named = lambda at, label: F.transform(at, lambda x: F.struct(x["first"].alias("first"), F.lit(label).alias("label")))
     base_at = [named(places(F.col("norm"), F.lit(" " + "  ".join(p.split()) + " ")), label) for p, label in BASE.items()]
     docs = docs.withColumn("base", F.when(F.col("norm").isNotNull(), F.concat(*base_at)))
-    gate = F.filter(table, lambda r: F.exists(F.split(r["key"], r"\|"), lambda k: F.contains(F.col("norm"), k)))
-    seen = F.flatten(F.transform(gate, lambda r: F.transform(places(F.col("norm"), r["pattern"]), lambda x: F.struct(x["first"].alias("first"), (-x["last"]).alias("back"), (-r["priority"]).alias("low"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))))
+    opened = F.filter(table, lambda r: F.exists(F.split(r["key"], r"\|"), lambda k: F.contains(F.col("norm"), k)))
+    seen = F.flatten(F.transform(opened, lambda r: F.transform(places(F.col("norm"), r["pattern"]), lambda x: F.struct(x["first"].alias("first"), (-x["last"]).alias("back"), (-r["priority"]).alias("low"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))))
     docs = docs.withColumn("seen", F.when(F.col("norm").isNotNull(), F.array_sort(seen)))
     none = F.expr("cast(array() as array<struct<rule:int,label:string,first:int,last:int,weight:double>>)")
     levels = max(r[3] for r in rules())

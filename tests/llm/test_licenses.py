@@ -1,5 +1,7 @@
 import random
 import re
+from itertools import product
+from re import _constants, _parser
 
 from pyspark.sql import functions as F
 
@@ -49,3 +51,37 @@ def test_scan_matches_brute_force(spark):
         want.append(str((i, n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[4] for x in kept})), score)))
     assert got == sorted(want)
     assert L.report(df.limit(0)).count() == 0
+
+
+def every(tree):
+    """A text of every alternative of a parsed pattern."""
+    parts = []
+    for op, v in tree:
+        if op is _constants.LITERAL:
+            parts.append([chr(v)])
+        elif op is _constants.ANY:
+            parts.append(["x"])
+        elif op is _constants.IN:
+            parts.append([chr(x) for _, x in v])
+        elif op is _constants.SUBPATTERN:
+            parts.append(every(v[3]))
+        elif op is _constants.BRANCH:
+            parts.append([x for t in v[1] for x in every(t)])
+        else:
+            parts.append([""] * (v[0] == 0) + every(v[2]))
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_every_rule_passes_prefilter_and_gate(spark):
+    rules, texts = L.rules(), []
+    for _, keys, pattern, priority, _ in rules:
+        found = every(_parser.parse(pattern))
+        assert all(re.search(pattern, x) and any(k in x for k in L.gate(keys).split("|")) for x in found)
+        assert all(re.search(L.PREFILTER, " ".join(x.split())) for x in found)
+        texts += [" ".join(x.split()) for x in (found if len(found) < 12 else found[:: len(found) // 6])]
+    texts = sorted({*texts, "Released under ASL 2.0", "MIT No Attribution", "GPL2", "GNU GPL1", "GPL3", "AGPL3", "agplversion 3"})
+    got = {r.t: {x.label for x in r.found or []} for r in L.scan(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text").alias("t")).select("row.t", "found").collect()}
+    for t in texts:
+        norm = " " + "  ".join(re.findall(r"[a-z0-9]+", t.lower())) + " "
+        seen = sorted((m.start(), -m.end(), -p, k, label) for k, (label, _, pattern, p, _) in enumerate(rules) for m in re.finditer(pattern, norm))
+        assert got[t] == {x[4] for i, x in enumerate(seen) if not any(o[1] <= x[1] and o[2] <= x[2] for o in seen[:i])}, t
