@@ -33,7 +33,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with how many of its words the mix takes."""
+    """Every document with how many of its words the mix takes.
+
+    The mix is given as counts: documents with ``taken`` 0 stay, and none is repeated where ``taken`` exceeds its size.
+    Taking the words is left to the reader, as only sizes are shuffled for a mix, never texts.
+    """
     got = mix.mix(docs, *map(F.col, docs.columns))
     return got.select("row.*", F.col("size").alias("mix_size"), "source_size", "target", "taken")
 
