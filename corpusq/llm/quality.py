@@ -7,8 +7,9 @@ vectors, which keep few features from deciding much, and a softmax over two clas
 trained by stochastic gradient descent in numpy.
 
 The classifier is fitted on a bounded sample of labelled rows: of each label at most about ``per_label`` documents,
-taken by the hash of doc_id, and of these at most ``features`` distinct features each, the most frequent.  A trained
-document score is a weighted mean of one number a bucket, so scoring gathers one float a feature and moves no rows.
+taken by the hash of doc_id, each with all its features.  The sample goes to one task, which returns the trained model
+as one row, so the driver holds one float a bucket and never the sample.  A trained document score is a weighted mean of
+one number a bucket, so scoring gathers one float a feature and moves no rows.
 
 Defined cases: a null or empty text has no features and gets the score of the learned bias alone; with no
 labelled rows every score is 0.5; null labels and labels other than 0 and 1 are ignored, and of several labels of a
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusq.llm import text as T
 from corpusq.llm.common import fold, prepare
 
-BITS, DIM, NGRAMS, PER_LABEL, FEATURES, EPOCHS, RATE, SEED, PAD = 18, 16, (2, 3, 4), 1500, 4096, 6, 0.5, 17, 100
+BITS, DIM, NGRAMS, PER_LABEL, EPOCHS, RATE, SEED, PAD = 18, 16, (2, 3, 4), 1500, 6, 0.5, 17, 100
 
 
 @dataclass
@@ -64,7 +65,7 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     return np.concatenate(ids), np.concatenate(owner)
 
 
-def _counts(bits: int, most: int) -> callable:
+def _counts(bits: int) -> callable:
     """(label, text) to (label, ids, counts): the distinct features of each text."""
 
     def run(batches: Iterator) -> Iterator:
@@ -77,15 +78,31 @@ def _counts(bits: int, most: int) -> callable:
                 key, n = np.unique(owner.astype(np.int64) << bits | f, return_counts=True)
                 cuts = np.searchsorted(key >> bits, np.arange(b - a + 1))
                 for i in range(b - a):
-                    k, c = key[cuts[i] : cuts[i + 1]] & ((1 << bits) - 1), n[cuts[i] : cuts[i + 1]]
-                    top = np.sort(np.argsort(-c, kind="stable")[:most])
-                    ids.append(k[top].astype(np.int32))
-                    counts.append(c[top].astype(np.int32))
+                    ids.append((key[cuts[i] : cuts[i + 1]] & ((1 << bits) - 1)).astype(np.int32))
+                    counts.append(n[cuts[i] : cuts[i + 1]].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["label", "ids", "counts"])
 
     return run
 
 
+def _train(bits: int, options: dict) -> callable:
+    """(label, ids, counts), in one task, to the trained model as one row (weight, bias)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows: list[tuple] = []
+        for batch in batches:
+            lists = [batch.column(c) for c in ("ids", "counts")]
+            (ids, cuts), (counts, _) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in lists)
+            rows += [(y, ids[cuts[i] : cuts[i + 1]].copy(), counts[cuts[i] : cuts[i + 1]].copy()) for i, y in enumerate(batch.column("label").to_pylist())]
+        rows.sort(key=lambda r: (len(r[1]), r[0], r[1].tobytes(), r[2].tobytes()))
+        model = train(rows, bits, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weight", "bias"])
+
+    return run
+
+
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Averaged embeddings and a softmax output by stochastic gradient descent over (label, ids, counts)."""
     rng = np.random.default_rng(seed)
@@ -124,20 +141,15 @@ def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", per_
         share = F.when(F.col("label") == y, F.lit(min(1.0, per_label / k))).otherwise(share)
     # The sample is bounded by per_label, so it may be broadcast.
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return documents.where(fold("doc_id", folds) != held).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    return documents.where(fold("doc_id", folds) != held).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, bits: int = BITS, most: int = FEATURES, **options) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, bits: int = BITS, **options) -> Model:
     prepare(documents.sparkSession)
-    rows = sample(documents, labels, label, per_label).mapInArrow(_counts(bits, most), "label int, ids array<int>, counts array<int>").toArrow().combine_chunks()
-    y = rows["label"].to_numpy()
-    if not len(y):
-        return train([], bits, **options)
-    (ids, cuts), (counts, _) = ((c.flatten().to_numpy(), c.offsets.to_numpy()) for c in (rows[n].combine_chunks() for n in ("ids", "counts")))
-    cuts = cuts - cuts[0]
-    got = [(int(y[i]), ids[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in range(len(y))]
-    got.sort(key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
-    return train(got, bits, **options)
+    rows = sample(documents, labels, label, per_label).mapInArrow(_counts(bits), "label int, ids array<int>, counts array<int>")
+    # One row at most: a task without rows still returns the untrained model.
+    got = rows.repartition(1).mapInArrow(_train(bits, options), "weight binary, bias double").first()
+    return Model(np.frombuffer(got.weight, np.float32), got.bias, bits) if got else train([], bits, **options)
 
 
 def _score(sent) -> callable:
@@ -175,4 +187,4 @@ def report(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
 def good(documents: DataFrame, labels: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     model = model or fit(documents, labels)
-    return score(documents, model, *map(F.col, documents.columns)).where(F.col("score") >= least).select("row.*")
+    return score(documents, model, F.struct(*documents.columns).alias("doc")).where(F.col("score") >= least).select("row.doc.*")
