@@ -97,15 +97,26 @@ def by_label(batches: Iterator) -> Iterator:
 
 
 def frequent(totals: DataFrame, most: int) -> DataFrame:
-    """Keys of the largest totals, about ``most`` at most: a histogram of 8 steps an octave sets the least total."""
+    """Keys of the largest totals, ``most`` at most: a histogram of 8 steps an octave sets the least total.
+
+    Of the step that doesn't fit as a whole, the keys of the smallest hashes fill the room that is left.
+    """
     step = F.floor(8 * F.log2("total")).cast("int")
+    part = F.shiftrightunsigned(F.xxhash64(*[c for c in totals.columns if c != "total"]), 48)
+    # At most some 500 steps, and 65536 parts of one of them.
     steps = sorted(((r.s, r.n) for r in totals.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    have, least = 0, 1 << 30
+    have, least, upto = 0, -1, 1 << 16
     for s, n in steps:
         if have + n > most:
+            least, upto = s, 0
+            parts = totals.where(step == s).groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+            for p, k in sorted((r.p, r.n) for r in parts.collect()):
+                if have + k > most:
+                    break
+                have, upto = have + k, p + 1
             break
-        have, least = have + n, s
-    return totals.where(step >= least).drop("total")
+        have += n
+    return totals.where((step > least) | ((step == least) & (part < upto))).drop("total")
 
 
 def suffix(two: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -209,8 +220,84 @@ def beyond(sent) -> callable:
     return run
 
 
-def lengths(model: Model, states: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code length in bits of every document of a slice under every label: (labels, documents)."""
+@dataclass
+class Tree:
+    """The whole context tree of one label, as sorted tables: of every order the contexts and the symbols seen in them.
+
+    A symbol seen in a shorter context has been seen wherever a longer one that ends in it has, so what is excluded
+    there is the longer context's own set: its sum is tabulated a context, and a cost takes one look-up an order.
+    """
+
+    keys: list  # by order: context and symbol, sorted
+    contexts: list  # by order, sorted
+    gain: list  # bits that a symbol's count takes off its context's denominator
+    whole: list  # denominator and escape of a context that is the deepest
+    after: list  # the same of the next shorter context, without what this one has seen
+    rest: float = 8.0  # bits of a symbol never seen, after all escapes
+
+    @classmethod
+    def of(cls, code: np.ndarray, n: np.ndarray) -> Tree:
+        self = cls([], [], [], [], [])
+        for order in range(4):
+            keys, at = np.unique(code & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            seen = np.bincount(at, n, len(keys))
+            contexts, owner = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.bincount(owner, seen, len(contexts)), np.bincount(owner, minlength=len(contexts))
+            self.whole.append(self.terms(total, kinds, kinds))
+            if order:
+                mask = (1 << 8 * order) - 1
+                up = np.searchsorted(self.contexts[-1], contexts & (mask >> 8))
+                out = np.bincount(owner, before[0][np.searchsorted(self.keys[-1], keys & mask)], len(contexts))
+                self.after.append(self.terms(before[1][up] - out, before[2][up] - kinds, before[2][up]))
+            before = (seen, total, kinds)
+            self.keys.append(keys)
+            self.contexts.append(contexts)
+            self.gain.append(np.log2(seen))
+        self.rest = float(np.log2(max(1, 256 - len(self.keys[0]))))
+        return self
+
+    @staticmethod
+    def terms(total: np.ndarray, kinds: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the denominator, and of an escape; nothing new to be seen there costs nothing."""
+        escape = np.where(seen == 256, 0, kinds)
+        whole = np.log2(np.maximum(total + escape, 1))
+        return whole, np.where(kinds > 0, whole - np.log2(np.maximum(escape, 1e-300)), 0.0)
+
+    def cost(self, code: np.ndarray) -> np.ndarray:
+        """Code length of every symbol after its three bytes."""
+        out = np.zeros(len(code))
+        live, longer = np.arange(len(code)), np.full(len(code), -1)
+        for order in (3, 2, 1, 0):
+            key = code[live] & ((1 << 8 * (order + 1)) - 1)
+            if not len(self.keys[order]):
+                continue
+            at = np.minimum(np.searchsorted(self.keys[order], key), len(self.keys[order]) - 1)
+            context = np.minimum(np.searchsorted(self.contexts[order], key >> 8), len(self.contexts[order]) - 1)
+            hit, has = self.keys[order][at] == key, self.contexts[order][context] == key >> 8
+            whole, escape = (np.where(has, x[context], 0.0) for x in self.whole[order])
+            if order < 3:
+                whole, escape = (np.where(longer >= 0, x[longer], y) for x, y in zip(self.after[order], (whole, escape)))
+            out[live] += np.where(hit, whole - self.gain[order][at], escape)
+            live, longer = live[~hit], np.where(has, context, -1)[~hit]
+        out[live] += self.rest
+        return out
+
+
+def trees(counts: DataFrame) -> dict[str, Tree]:
+    """The tree of every label, of counts (label, code, n)."""
+    t = counts.toArrow()
+    labels, code, n = t["label"].to_pylist(), t["code"].to_numpy(), t["n"].to_numpy()
+    names = sorted(set(labels))
+    at = {x: i for i, x in enumerate(names)}
+    own = np.array([at[x] for x in labels], np.int64)
+    return {x: Tree.of(code[own == i], n[own == i]) for i, x in enumerate(names)}
+
+
+def lengths(models: list[Tree], buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Code length in bits of every document of a slice under every tree: (trees, documents)."""
+    import pandas as pd
+
     code, cuts = codes(buf, offsets)
-    cell = states[code >> np.uint32(8)].astype(np.int64) << 8 | (code & np.uint32(255))
-    return np.stack([np.add.reduceat(c[cell].astype(np.float64), cuts[:-1]) for c in model.cost])
+    at, distinct = pd.factorize(code)
+    distinct = distinct.astype(np.int64)
+    return np.stack([np.add.reduceat(m.cost(distinct)[at], cuts[:-1]) for m in models])

@@ -48,13 +48,14 @@ def test_code_lengths_match_brute_force(spark):
     train = {"x": texts(30), "y": [t.upper() for t in texts(20, 2)] + [""]}
     rows = spark.createDataFrame([(k, t) for k, v in train.items() for t in v], "label string, text string")
     counts = rows.mapInArrow(P.by_label, "label string, code bigint, n bigint").groupBy("label", "code").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
-    model = P.build(counts)
+    model = P.trees(counts)
     probe = texts(15, 5) + ["", "Zzé中", "ABAB C"]
     buf, off = T.text_buffer(pa.array(probe))
-    got = P.lengths(model, model.states(), buf, off)
-    for i, label in enumerate(model.labels):
+    got = P.lengths(list(model.values()), buf, off)
+    assert list(model) == ["x", "y"]
+    for i, label in enumerate(model):
         for t, x in zip(probe, got[i]):
-            assert x == pytest.approx(brute(train[label], t), rel=1e-5)
+            assert x == pytest.approx(brute(train[label], t), rel=1e-9)
 
 
 def test_small_trees_are_proper_codes(spark):
@@ -67,6 +68,52 @@ def test_small_trees_are_proper_codes(spark):
     assert np.allclose(np.exp2(-model.cost.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_a_tree_where_every_byte_is_seen():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [rng.integers(0, 256, 4000).astype(np.uint8).tobytes() + bytes(range(256)) * 2 for _ in range(3)]
+    code, _ = P.codes(np.frombuffer(data[0], np.uint8), np.array([0, len(data[0])]))
+    keys, n = np.unique(code, return_counts=True)
+    tree = P.Tree.of(keys.astype(np.int64), n)
+    for context in [0, 5, *(int(k) >> 8 for k in keys[:40])]:
+        row = tree.cost(np.arange(256, dtype=np.int64) | context << 8)
+        assert np.exp2(-row).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_ties_do_not_empty_the_head(spark):
+    t = spark.range(5000).selectExpr("id as context", "7L as total")
+    kept = P.frequent(t, 200).count()
+    assert kept == 200
+    assert P.frequent(t, 5000).count() == 5000 and P.frequent(t, 0).count() == 0
+    more = t.unionByName(spark.range(6000, 6050).selectExpr("id as context", "900L as total"))
+    got = {r.context for r in P.frequent(more, 200).collect()}
+    assert set(range(6000, 6050)) <= got and len(got) == 200
+
+
+def test_many_languages(spark):
+    """200 languages, each with an alphabet of its own order: a tree holds all of its contexts."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    docs = []
+    for k in range(200):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 8))) for _ in range(30)]
+        docs += [(10 * len(docs) + j, " ".join(rnd.choice(words) for _ in range(25)), f"l{k:03d}") for j in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("*", "1 as row", "'x' as label", "0.5 as score")
+    model = G.fit(df)
+    assert len(model) == 200
+    truth = {d: k for d, _, k in docs}
+    held = [r.lang_pred == truth[r.doc_id] for r in G.report(df).collect() if r.held_out]
+    assert len(held) > 150 and np.mean(held) > 0.97
+
+
+def test_equal_trees_tie_to_the_first(spark):
+    df = spark.createDataFrame([(1, "some words", "b"), (1, "some words", "a"), (2, "some words", None)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in G.report(df).collect()} == {("a", 0.5)}
+
+
 def test_languages(spark):
     rnd = random.Random(3)
     word = {"aa": "lorem ipsum dolor", "bb": "quick brown foxes", "cc": "été où ça"}
