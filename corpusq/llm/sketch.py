@@ -7,12 +7,14 @@ hashed as XXH64 of the words' XXH64.  If none lies below the threshold, the leas
 words have empty sketches; merging keeps that rule.
 
 ``neighbours`` finds, for every document, the next one in a cyclic order without ordering the table in one task:
-buckets are doc_id ranges between approximate quantiles, every bucket's head is copied behind the preceding bucket's
-rows, and a window within the bucket does the rest.  Texts are shuffled once.
+buckets are ranges of places, a place being doc_id and the hash of the text, so rows of equal or null doc_id are dealt
+out too; every bucket's head is copied behind the preceding bucket's rows, and a window within the bucket does the
+rest.  Texts are shuffled once.  There are at most ``BUCKETS`` buckets, of 128 rows up to 8 million documents and of a
+65536th of all beyond; bounds and heads, two short strings a bucket, are all that comes to the driver.
 
 Defined cases: null text is empty; the empty text has an empty sketch, alike only to another empty one; documents of
-equal doc_id follow each other by the hash of their texts; those of null doc_id come last (few: they share a bucket);
-a single document is its own next; extra columns are ignored.
+equal doc_id follow each other by the hash of their texts, those of null doc_id come last; a single document is its
+own next; repeated rows are separate documents, and only they share a place; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE, SCALE, BUCKET_ROWS, BUCKETS = 5, 8, 128, 16384
+SHINGLE, SCALE, BUCKET_ROWS, BUCKETS, SAMPLE = 5, 8, 128, 1 << 16, 1 << 19
 
 
 def let(value: Column, body) -> Column:
@@ -64,46 +66,54 @@ def hexed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
 
 
-def bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds below the key, by binary search in a literal array; -1 for null."""
+def bucket(key: Column, bounds: list[str]) -> Column:
+    """Number of bounds at or below the key, by binary search in a literal array."""
     if not bounds:
-        return F.when(key.isNull(), -1).otherwise(0)
-    table = F.array(*map(F.lit, bounds))
+        return F.lit(0)
+    table = F.split(F.lit(",".join(bounds)), ",")
     steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def step(a, _):
         mid = ((a["lo"] + a["hi"]) / 2).cast("int")
-        below = (a["lo"] < a["hi"]) & (F.get(table, mid) < key)
+        below = (a["lo"] < a["hi"]) & (F.get(table, mid) <= key)
         return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(below | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(key.isNull(), -1).otherwise(F.aggregate(steps, start, step, lambda a: a["lo"]))
+    return F.aggregate(steps, start, step, lambda a: a["lo"])
 
 
-def neighbours(documents: DataFrame, *columns: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def place(doc_id: Column, text: Column) -> Column:
+    """A string that sorts by descending doc_id, null last, and then by the hash of the text."""
+    sixteen = lambda x: F.lpad(F.hex(x), 16, "0")
+    top = F.coalesce(sixteen(doc_id.cast("bigint").bitwiseXOR(F.lit((1 << 63) - 1))), F.lit("G"))
+    return F.concat(top, F.lit("-"), sixteen(F.coalesce(F.xxhash64(text), F.lit(0))))
+
+
+def neighbours(documents: DataFrame, *columns: str, bucket_rows: int = BUCKET_ROWS, buckets: int = BUCKETS, sample: int = SAMPLE) -> DataFrame:
     """The given columns with ``next``, a struct of those of the document next by descending doc_id (after the last: the first)."""
-    ids = documents.select("doc_id")
-    n = ids.count()
-    many = max(1, min(BUCKETS, -(-n // bucket_rows)))
-    bounds: list[int] = []
+    key = place(F.col("doc_id"), F.col("text"))
+    keys = documents.select(key.alias("k"))
+    n = keys.count()
+    many = max(1, min(buckets, -(-n // bucket_rows)))
+    bounds: list[str] = []
     if many > 1:
-        found = ids.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 4 * many).alias("b")).first().b
-        bounds = sorted(set(found or []))
-    of = bucket(F.col("doc_id"), bounds)
-    # Bounded by the number of buckets: the largest doc_id of each, and the bucket whose rows it follows.
-    heads = sorted((r.b, r.h) for r in ids.groupBy(of.alias("b")).agg(F.max("doc_id").alias("h")).collect())
-    follows = {b: above for (b, _), (above, _) in pairwise([*heads, *heads[:1]])}
+        # A sample of at most about ``sample`` places by their hash: it sets how even the buckets are, and nothing else.
+        rate = int(min(1.0, sample / n) * (1 << 40))
+        some = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < rate).distinct().toArrow()["k"].to_pylist()
+        some.sort()
+        bounds = sorted({some[len(some) * i // many] for i in range(1, many)}) if some else []
+    of = bucket(F.col("__k"), bounds)
+    # One row a bucket: the first place of each, and the bucket whose rows it follows.
+    heads = sorted((r.b, r.h) for r in keys.withColumnRenamed("k", "__k").groupBy(of.alias("b")).agg(F.min("__k").alias("h")).collect())
+    follows = {b: before for (before, _), (b, _) in pairwise([*heads, *heads[:1]])}
     first = dict(heads)
-    slots = range(-1, len(bounds) + 1)
-    at = F.col("__b") + 1
-    head = F.get(F.array(*[F.lit(first.get(b)).cast("bigint") for b in slots]), at)
-    above = F.get(F.array(*[F.lit(follows.get(b, b)) for b in slots]), at)
-    rows = documents.select(*columns, "doc_id") if "doc_id" not in columns else documents.select(*columns)
-    rows = rows.withColumn("__b", of)
-    is_head = F.col("doc_id").isNull() | (F.col("doc_id") == head)
-    own, ghost = F.struct(F.col("__b").alias("b"), F.lit(False).alias("g")), F.struct(above.alias("b"), F.lit(True).alias("g"))
-    rows = rows.withColumn("__p", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))))
-    w = Window.partitionBy("__p.b").orderBy("__p.g", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    slots = range(len(bounds) + 1)
+    head = F.get(F.split(F.lit(",".join(first.get(b, "") for b in slots)), ","), F.col("__b"))
+    before = F.get(F.split(F.lit(",".join(str(follows.get(b, b)) for b in slots)), ","), F.col("__b")).cast("int")
+    rows = documents.select(*columns, key.alias("__k")).withColumn("__b", of)
+    own, ghost = F.struct(F.col("__b").alias("b"), F.lit(False).alias("g")), F.struct(before.alias("b"), F.lit(True).alias("g"))
+    rows = rows.withColumn("__p", F.explode(F.when(F.col("__k") == head, F.array(own, ghost)).otherwise(F.array(own))))
+    w = Window.partitionBy("__p.b").orderBy("__p.g", "__k")
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("not __p.g").select(*columns, "next")
 
 

@@ -53,13 +53,26 @@ def check(spark, docs, **options):
 
 def test_report_matches_brute_force(spark, monkeypatch):
     check(spark, rows(120))
-    monkeypatch.setattr(K, "BUCKET_ROWS", 7)
-    monkeypatch.setattr(K.neighbours, "__kwdefaults__", {"bucket_rows": 7})
-    check(spark, rows(150, 2))
+    for options in ({"bucket_rows": 7}, {"bucket_rows": 7, "sample": 40}, {"bucket_rows": 2, "buckets": 9}):
+        monkeypatch.setattr(K.neighbours, "__kwdefaults__", K.neighbours.__kwdefaults__ | options)
+        check(spark, rows(150, 2))
     check(spark, [(5, "only one here"), (2, "x " * 20000)])
     check(spark, [(5, "alone")])
 
 
+def test_next_of_null_and_equal_ids(spark):
+    """Rows of no or one doc_id stand in the order of their texts' hashes, over many buckets."""
+    docs = [(None, f"none {i}") for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(8, "last"), (-3, "x"), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    keyed = [(r.k, r.doc_id, r.text) for r in df.select(K.place(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text").collect()]
+    order = [(d, t) for _, d, t in sorted(keyed, key=lambda x: x[0])]
+    assert [d for d, _ in order] == [8] + [7] * 61 + [-3] + [None] * 60
+    got = {(r.doc_id, r.text): (r.next.doc_id, r.next.text) for r in K.neighbours(df, "doc_id", "text", bucket_rows=4).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1]))
+    twice = df.where("doc_id is null").unionByName(df.where("doc_id is null"))
+    assert K.neighbours(twice, "doc_id", "text", bucket_rows=4).count() == 120
+
+
 def test_nulls_ties_and_merging(spark):
     df = spark.createDataFrame([(1, None), (1, "a b"), (1, "a b"), (None, "x"), (None, None), (2, " ")], "doc_id long, text string")
     assert K.report(df).count() == 6
