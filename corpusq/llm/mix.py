@@ -7,12 +7,12 @@ capacity per weight).  Blocks of ``block`` words go to sources by the highest qu
 source's blocks to its shards in the same way, by size.  Within a shard, documents stand in a seeded order; a quota
 takes the whole shard as often as it fits, and the rest as the first blocks of that order.
 
-A shard is a hash class of documents within a source, so a hot source is dealt to many tasks; a source has at most
-``shards`` of them, which bounds the per-source apportionment.  Only sizes are shuffled, never texts.
+A shard is a class of documents within a source, by a hash of doc_id and text, so a hot source, or many rows of one or
+no doc_id, are dealt to many tasks; a source has at most ``shards`` of them, which bounds the per-source apportionment.
+Only sizes are shuffled, never texts.  Sources are ordered in one task, one short row each.
 
 Defined cases: null or empty text has size 0 and nothing is taken of it; a source without words has target 0; rows
-of equal doc_id are separate documents, and where they tie in the seeded order the shorter comes first; extra
-columns are ignored.
+of equal doc_id are separate documents, and only repeated rows tie in the seeded order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mix(documents: DataFrame, *keep: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shards: int = SHARDS) -> DataFrame:
     """(row, size, source_size, target, taken) for every document; row is a struct of the kept columns."""
     kept = keep or (F.col("doc_id"),)
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     docs = documents.select(F.struct(*kept).alias("row"), "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), size_of(F.col("text")).alias("size"), order.alias("h"), F.col("doc_id").alias("id"))
     docs = cut(docs)
     n = max(1, min(shards, -(-docs.count() // SHARD_DOCS)))
@@ -89,7 +89,7 @@ def mix(documents: DataFrame, *keep: Column, weights: tuple[int, ...] = WEIGHTS,
 #: The same as DuckDB SQL, from the statement of the method.
 SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-           md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+           md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents),
 n AS (SELECT greatest(1, least(4096, CAST(ceil(count(*) / 1024.0) AS BIGINT))) AS n FROM d),
 e AS (SELECT d.*, CAST('0x' || substr(h, 1, 7) AS BIGINT) % n.n AS shard FROM d, n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source),

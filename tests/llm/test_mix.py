@@ -45,3 +45,12 @@ def test_targets_taken_and_defined_cases(spark):
     assert all(abs(by[s] - target[s]) <= 2 * M.BLOCK for s in by)
     assert sorted(map(str, got)) == sorted(map(str, out.collect()))
     assert M.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    df = spark.range(6000).selectExpr("cast(null as long) as doc_id", "concat('w ', id) as text", "'s' as source")
+    rows = M.mix(df, F.col("text")).collect()
+    assert len(rows) == 6000 and sum(r.taken for r in rows) == 12000
+    same = df.withColumn("doc_id", F.lit(3).cast("long"))
+    h = F.md5(F.concat_ws(":", F.lit(M.SEED), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary"))
+    assert same.select(h.alias("h")).distinct().count() == 6000
