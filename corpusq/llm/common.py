@@ -13,11 +13,19 @@ ARROW_ROWS = 400
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder: the cluster's, or a local one where none is named (as in tests)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Small Arrow batches from now on in the session, and a checkpoint folder: the one that ``spark.checkpoint.dir`` names.
+
+    A session within one JVM, as in tests, gets a temporary folder where none is named; on a cluster that is an error,
+    as executors don't see each other's local folders.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
@@ -39,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns by their whole names, whatever signs these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fold(column: Column | str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     c = F.col(column) if isinstance(column, str) else column

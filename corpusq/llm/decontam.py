@@ -6,9 +6,10 @@ the smallest hash of its ``gram``-word grams, so a span of ``window`` words that
 a kept gram on both sides.  A document's kept grams are looked up among the items' kept grams; around every hit the
 document's windows are looked up among the items' windows and compared with them word by word (64-bit word hashes).
 
-The items are a query set: they are read in blocks of about ``block_chars`` characters, each broadcast by itself, and
-all documents are matched with each block in one pass that moves no text between executors.  With one block (any
-benchmark of up to ``block_chars`` characters) nothing is shuffled at all.
+The items are a query set: they are read in blocks of about ``block_chars`` characters (a partition of the benchmark
+comes to the driver at a time).  Each block is broadcast by itself, the documents are matched with it in a pass that
+moves no text between executors, and it is gone before the next one is sent.  With one block (any benchmark of up to
+``block_chars`` characters) nothing is shuffled at all.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing; an item of null
 item_id marks words but is not listed; rows that repeat an item_id are one item; repeated documents are separate
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import cut, prepare
+from corpusq.llm.common import prepare, save
 
 WINDOW, GRAM, BLOCK_CHARS = 13, 5, 1 << 24
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Block:
@@ -199,23 +201,32 @@ def blocks_of(benchmark: DataFrame, window: int, gram: int, block_chars: int) ->
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: row (struct of the kept columns), n_words, spans (hit words as inclusive ranges) and items (ids as strings, sorted)."""
     spark = prepare(documents.sparkSession)
-    docs = documents.select(F.struct(*keep).alias("row"), F.col("text"))
+    kept = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep]).alias("row")
     found_schema = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, {found_schema}"
+    blocks = blocks_of(benchmark, window, gram, block_chars)
+    block, after = next(blocks, Block([], [], window, gram)), next(blocks, None)
+    sent = spark.sparkContext.broadcast(vars(block))
+    if after is None:
+        docs = documents.select(kept, "text")
+        return docs.mapInArrow(_match([sent]), f"row {docs.schema['row'].dataType.simpleString()}, {found_schema}")
+    # More than one block: what a block hits depends on the text alone, so hits are kept by the text's 128-bit hash, a
+    # table a block; one block is live at a time, and texts are neither shuffled nor written.
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")]
+    texts = documents.select(*key, "text").where("text is not null")
     found = None
-    sent = [spark.sparkContext.broadcast(vars(block)) for block in blocks_of(benchmark, window, gram, block_chars)]
-    if not sent:
-        sent.append(spark.sparkContext.broadcast(vars(Block([], [], window, gram))))
-    if len(sent) == 1:
-        return docs.mapInArrow(_match(sent), schema)
-    # More than one block: rows get an identity that survives in the checkpoint, and each block's hits are merged by it.
-    docs = cut(docs.withColumn("at", F.monotonically_increasing_id()))
-    for b in sent:
-        part = docs.select("at", "text").mapInArrow(_match([b]), f"at bigint, {found_schema}")
+    while block is not None:
+        rows = texts.mapInArrow(_match([sent]), f"k1 bigint, k2 bigint, {found_schema}").where(F.size("spans") > 0)
+        part = save(rows.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
         found = part if found is None else found.unionByName(part)
-    rows = found.groupBy("at").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        sent.destroy()
+        block, after = after, next(blocks, None)
+        sent = spark.sparkContext.broadcast(vars(block)) if block else None
+    rows = found.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     step = "aggregate(spans, cast(array() as array<struct<first:bigint,last:bigint>>), (a, x) -> case when size(a) > 0 and x.first <= element_at(a, -1).last + 1 then concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))) else concat(a, array(x)) end)"
-    return docs.select("at", "row").join(rows.withColumn("spans", F.expr(step)), "at").drop("at")
+    docs = documents.select(kept, *key, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"))
+    none = {"spans": F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"), "items": F.expr("cast(array() as array<string>)")}
+    joined = docs.join(rows.withColumn("spans", F.expr(step)), ["k1", "k2"], "left")
+    return joined.select("row", "n_words", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
 
 
 def report(documents: DataFrame, benchmark: DataFrame, part: int = 20, **options) -> DataFrame:

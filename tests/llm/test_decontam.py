@@ -33,6 +33,8 @@ def test_matches_brute_force(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     many = [tuple(r) for r in D.report(d, b, block_chars=1500).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
     assert sorted(many, key=key) == sorted(want, key=key)
+    again = D.decontaminate(d.selectExpr("*", "1 as k1", "2 as n_words", "3 as row"), b, block_chars=300)
+    assert again.columns == ["doc_id", "text", "k1", "n_words", "row"] and again.count() == sum(not w[-1] for w in want)
 
 
 def test_empty_tables_and_clashing_columns(spark):
