@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import prepare, save
+from corpusq.llm.common import cut, prepare
 
 WINDOW, GRAM, BLOCK_CHARS = 13, 5, 1 << 24
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -216,7 +216,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     found = None
     while block is not None:
         rows = texts.mapInArrow(_match([sent]), f"k1 bigint, k2 bigint, {found_schema}").where(F.size("spans") > 0)
-        part = save(rows.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        part = cut(rows.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
         found = part if found is None else found.unionByName(part)
         sent.destroy()
         block, after = after, next(blocks, None)

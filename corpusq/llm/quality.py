@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import fold, prepare
+from corpusq.llm.common import columns, fold, prepare
 
 BITS, DIM, NGRAMS, PER_LABEL, EPOCHS, RATE, SEED, PAD = 18, 16, (2, 3, 4), 1500, 6, 0.5, 17, 100
 
@@ -187,4 +187,4 @@ def report(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
 def good(documents: DataFrame, labels: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     model = model or fit(documents, labels)
-    return score(documents, model, F.struct(*documents.columns).alias("doc")).where(F.col("score") >= least).select("row.doc.*")
+    return score(documents, model, F.struct(*columns(documents)).alias("doc")).where(F.col("score") >= least).select("row.doc.*")

@@ -70,11 +70,16 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
 
+def equal_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 without its near passages: what SQL can express."""
+    return substring.report(table(spark, sf_dir, "documents"), similarity=None)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OP9 = f"""
+EQUAL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {SQL_WORDS.format("text")} AS w FROM documents),
 g AS (SELECT r, doc_id, k, array_to_string(w[k + 1 : k + 50], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(0, len(w) - 49)) AS k FROM d WHERE len(w) >= 50)),
 s AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(DISTINCT r) > 1),
@@ -88,5 +93,5 @@ l AS (SELECT r, min(least) AS first_doc_id FROM h GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, n_repeated, copies, first_doc_id, spans FROM d JOIN t USING (r) JOIN l USING (r) JOIN c USING (text)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_tokens": op7_tokens, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_quality": op10_quality}
-ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL, "op9_substring": OP9}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_tokens": op7_tokens, "op8_lm": op8_lm, "op9_substring": op9_substring, "equal_passages": equal_passages, "op10_quality": op10_quality}
+ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL, "equal_passages": EQUAL}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import cut, prepare
+from corpusq.llm.common import columns, cut, prepare
 from corpusq.llm.components import roots
 
 BITS, BLOCKS, PIVOTS, HOT = 3, 6, 16, 1024
@@ -219,7 +219,7 @@ def one_each(documents: DataFrame, **options) -> DataFrame:
     found = classes(documents, F.col("doc_id"), uid.alias("uid"), **options)
     # A class without any doc_id has no id of its own; its fingerprints' rows are told apart by fp.
     stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("row.uid").alias("uid"))).alias("s"))
-    rows = documents.select(F.struct(*documents.columns).alias("doc"), uid.alias("uid")).join(stay.select("s.uid").distinct(), "uid")
+    rows = documents.select(F.struct(*columns(documents)).alias("doc"), uid.alias("uid")).join(stay.select("s.uid").distinct(), "uid")
     first = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
     return rows.withColumn("n", first).where("n = 1").select("doc.*")
 

@@ -74,3 +74,27 @@ def test_run(spark, folder):
     out = C.run(spark, folder)
     assert out.columns == [*NAMES, "mix_size", "source_size", "target", "taken"] and out.count() > 50
     assert C.ORACLE_SQL is None and [n for n, _ in C.STAGES] == list(dict.fromkeys(n for n, _ in C.STAGES))
+
+
+def test_clashing_columns_and_empty_tables(spark, folder, tmp_path):
+    """Every stage keeps extra columns, whatever their names, as they are; the mix's own four replace theirs."""
+    read = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    extra = ["label", "score", "row", "doc", "uid", "fp", "k1", "at", "later", "size", "key", "taken", "Target", "mix_size", "a.b"]
+    docs = read("documents").selectExpr("*", *[f"'{n}' as `{n}`" for n in extra])
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == NAMES + extra, name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() and {tuple(r) for r in docs.selectExpr(*[f"`{n}`" for n in extra]).distinct().collect()} == {tuple(extra)}, name
+    out = C.mix_stage(spark, docs, folder)
+    assert out.columns == NAMES + extra[:-4] + ["a.b", "mix_size", "source_size", "target", "taken"] and out.count() == docs.count()
+    none = tmp_path / "none"
+    for n in ("documents", "labels", "benchmark"):
+        read(n).limit(0).write.parquet(str(none / f"{n}.parquet"))
+    assert C.run(spark, str(none)).count() == 0
+    bare = tmp_path / "bare"
+    read("documents").write.parquet(str(bare / "documents.parquet"))
+    for n in ("labels", "benchmark"):
+        read(n).limit(0).write.parquet(str(bare / f"{n}.parquet"))
+    assert C.run(spark, str(bare)).count() > 50
