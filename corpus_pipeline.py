@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import decontam, mix, quality, simhash, substring
-from corpusq.llm.common import prepare, table
+from corpusq.llm.common import columns, prepare, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,16 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with how many of its words the mix takes.
+    """Every document with how many of its words the mix takes: mix_size, source_size, target and taken.
+
+    Columns of the documents that have one of these names, in whatever case, are replaced.
 
     The mix is given as counts: documents with ``taken`` 0 stay, and none is repeated where ``taken`` exceeds its size.
     Taking the words is left to the reader, as only sizes are shuffled for a mix, never texts.
     """
-    got = mix.mix(docs, *map(F.col, docs.columns))
-    return got.select("row.*", F.col("size").alias("mix_size"), "source_size", "target", "taken")
+    added = ("mix_size", "source_size", "target", "taken")
+    got = mix.mix(docs, F.struct(*[c for c, name in zip(columns(docs), docs.columns) if name.lower() not in added]).alias("doc"))
+    return got.select("row.doc.*", F.col("size").alias("mix_size"), *added[1:])
 
 
 STAGES = [("quality", quality_stage), ("near duplicates", near_stage), ("repeated passages", substring_stage), ("benchmark", benchmark_stage), ("mix", mix_stage)]
