@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch where a document's whole text goes to Python; 200 documents of 100 kB make 20 MB.
 ARROW_ROWS = 400
@@ -67,6 +68,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def rows_of(df: DataFrame, more: str) -> StructType:
+    """The column ``row`` as it is and the columns of a DDL string after it."""
+    return StructType([df.schema["row"], *StructType.fromDDL(more).fields])
+
+
 def fold(column: Column | str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     c = F.col(column) if isinstance(column, str) else column

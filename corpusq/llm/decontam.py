@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import cut, prepare
+from corpusq.llm.common import cut, prepare, rows_of
 
 WINDOW, GRAM, BLOCK_CHARS = 13, 5, 1 << 24
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -208,7 +208,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     sent = spark.sparkContext.broadcast(vars(block))
     if after is None:
         docs = documents.select(kept, "text")
-        return docs.mapInArrow(_match([sent]), f"row {docs.schema['row'].dataType.simpleString()}, {found_schema}")
+        return docs.mapInArrow(_match([sent]), rows_of(docs, found_schema))
     # More than one block: what a block hits depends on the text alone, so hits are kept by the text's 128-bit hash, a
     # table a block; one block is live at a time, and texts are neither shuffled nor written.
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")]

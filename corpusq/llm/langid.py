@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusq.llm import ppm
 from corpusq.llm import text as T
-from corpusq.llm.common import fold, prepare
+from corpusq.llm.common import fold, prepare, rows_of
 
 PER_LANG = 500
 LETTER = np.zeros(256, bool)
@@ -76,7 +76,7 @@ def predict(documents: DataFrame, model: dict[str, ppm.Tree], *keep: Column) ->
     """(row, lang_pred, score) for every document; row is a struct of the kept columns."""
     spark = prepare(documents.sparkSession)
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast({k: vars(x) for k, x in model.items()})), f"row {docs.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast({k: vars(x) for k, x in model.items()})), rows_of(docs, "lang_pred string, score double"))
 
 
 def report(documents: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

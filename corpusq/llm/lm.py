@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusq.llm import ppm
 from corpusq.llm import text as T
-from corpusq.llm.common import cut, fold, prepare
+from corpusq.llm.common import cut, fold, prepare, rows_of
 
 HEAD = 1 << 20
 CONTEXTS = ppm.ORDER3
@@ -130,7 +130,7 @@ def scores(documents: DataFrame, training: DataFrame, *keep: Column, head: int =
     model = ppm.build(symbols, contexts, ppm.ALL2, keep=True)
     sent = spark.sparkContext.broadcast((vars(model) | {"seen": None}, keys[order], table["n"].to_numpy()[order]))
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, at bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, far array<struct<code:bigint,n:bigint>>"
+    schema = rows_of(docs, "at bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, far array<struct<code:bigint,n:bigint>>")
     docs = cut(docs.mapInArrow(_score(sent, total, distinct, ends), schema))
     rest = docs.select("at", F.explode("rest").alias("key")).join(words, "key", "left")
     cost = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (total + 0.1 * (distinct + 1)))

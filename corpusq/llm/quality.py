@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import columns, fold, prepare
+from corpusq.llm.common import columns, fold, prepare, rows_of
 
 BITS, DIM, NGRAMS, PER_LABEL, EPOCHS, RATE, SEED, PAD = 18, 16, (2, 3, 4), 1500, 6, 0.5, 17, 100
 
@@ -174,7 +174,7 @@ def score(documents: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """(row, score) for every document; row is a struct of the kept columns."""
     spark = prepare(documents.sparkSession)
     docs = documents.select(F.struct(*(keep or (F.col("doc_id"),))).alias("row"), "text")
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))), f"row {docs.schema['row'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))), rows_of(docs, "score double"))
 
 
 def report(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import columns, cut, prepare
+from corpusq.llm.common import columns, cut, prepare, rows_of
 from corpusq.llm.components import roots
 
 BITS, BLOCKS, PIVOTS, HOT = 3, 6, 16, 1024
@@ -86,7 +86,7 @@ def fingerprints(documents: DataFrame, *keep: Column) -> DataFrame:
     """(row, fp) for every document: row is a struct of the kept columns, fp the fingerprint as a signed 64-bit integer."""
     prepare(documents.sparkSession)
     docs = documents.select(F.struct(*keep).alias("row"), F.col("text"))
-    return docs.mapInArrow(_fingerprints, f"row {docs.schema['row'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(_fingerprints, rows_of(docs, "fp bigint"))
 
 
 def masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:

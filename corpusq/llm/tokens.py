@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import text as T
-from corpusq.llm.common import prepare
+from corpusq.llm.common import prepare, rows_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that byte-level vocabularies of this kind are used with.
@@ -120,7 +120,7 @@ def attribute(documents: DataFrame, *keep: Column, sections: Column | None = Non
     columns = [F.struct(*(keep or (F.col("doc_id"),))).alias("row"), F.col("text")]
     docs = documents.select(*columns) if sections is None else documents.select(*columns, sections.alias("sections"))
     sent = spark.sparkContext.broadcast(vocabulary(path))
-    return docs.mapInArrow(_count(sent, rule, sections is None), f"row {docs.schema['row'].dataType.simpleString()}, n_tokens bigint, n_crossing bigint, tokens array<double>")
+    return docs.mapInArrow(_count(sent, rule, sections is None), rows_of(docs, "n_tokens bigint, n_crossing bigint, tokens array<double>"))
 
 
 def report(documents: DataFrame, rule: str = "first", path: str = VOCABULARY) -> DataFrame:
