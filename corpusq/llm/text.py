@@ -58,7 +58,14 @@ def _powers(p: int, n: int) -> np.ndarray:
     return out
 
 
-_POW: dict[str, np.ndarray] = {}
+class _Own(dict):
+    """A dictionary that every process fills for itself: it travels empty, as functions travel with all that they use."""
+
+    def __reduce__(self):
+        return (_Own, ())
+
+
+_POW = _Own()
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:

@@ -130,3 +130,16 @@ def test_languages(spark):
     empty = df.limit(0)
     assert G.report(empty).count() == 0
     assert {r.lang_pred for r in G.predict(df, G.fit(empty)).collect()} == {"und"}
+
+
+def test_functions_travel_light():
+    """Power tables that the driver has made for itself stay there."""
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from corpusq.llm import substring
+
+    T.hash_spans(np.frombuffer(b"a b", np.uint8), np.array([0, 2]), np.array([1, 3]))
+    sent = cloudpickle.dumps(substring._contents)
+    assert len(sent) < 1 << 17
+    assert len(T._POW) == 2 and callable(cloudpickle.loads(sent))
