@@ -13,16 +13,21 @@ def term_frequency(chunks: DataFrame, style: str = "index") -> DataFrame:
 
 
 def build(chunks: DataFrame, style: str = "index") -> DataFrame:
-    """chunks(file_id, dir_id, chunk_id, content[, locator]) to postings, one row per term and chunk.
+    """chunks(file_id, dir_id, chunk_id, content[, locator, entry]) to postings, one row per term and chunk.
 
-    Entries of one chunk are merged: the first locator stays and positions go on.  doc_length is the file's tokens.
+    Entries of one chunk that hold the term are merged in their order: the first locator stays and positions are
+    appended.  Their order is that of ``entry``, or of the first line in their locators.  doc_length is the file's tokens.
     """
     if "locator" not in chunks.columns:
         chunks = chunks.withColumn("locator", F.lit("").cast("string"))
-    rows = chunks.select("file_id", "dir_id", "chunk_id", "locator", tokens(F.col("content"), style).alias("terms"))
+    if "entry" not in chunks.columns:
+        chunks = chunks.withColumn("entry", F.coalesce(F.regexp_extract("locator", r"(\d+)", 1).try_cast("bigint"), F.lit(0)))
+    rows = chunks.select("file_id", "dir_id", "chunk_id", "locator", "entry", tokens(F.col("content"), style).alias("terms"))
     sizes = rows.groupBy("file_id").agg(F.sum(F.size("terms")).cast("bigint").alias("doc_length"))
-    flat = rows.select("file_id", "dir_id", "chunk_id", "locator", F.posexplode("terms").alias("pos", "term"))
-    found = flat.groupBy("term", "file_id", "dir_id", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.min("locator").alias("locator"))
+    flat = rows.select("file_id", "dir_id", "chunk_id", "locator", "entry", F.posexplode("terms").alias("pos", "term"))
+    places = F.array_sort(F.collect_list(F.struct("entry", "locator", "pos")))
+    found = flat.groupBy("term", "file_id", "dir_id", "chunk_id").agg(F.count("*").alias("tf"), places.alias("places"))
+    found = found.select("term", "file_id", "dir_id", "chunk_id", "tf", F.col("places.pos").alias("positions"), F.get("places", F.lit(0))["locator"].alias("locator"))
     return found.join(sizes, "file_id")
 
 

@@ -64,7 +64,8 @@ def knn_post_filter(rows: DataFrame, query: list[float], k: int, where: Column,
 def knn_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", block: int = 1024) -> DataFrame:
     """(query_id, key, score, rank): the k best rows for every query(query_id, vector).
 
-    Queries go out in blocks of ``block``; each task keeps its k best of each query, and only those are shuffled.
+    Queries go out in blocks of ``block``; each task keeps its k best of each query, and only those are shuffled.  As in
+    ``knn``, components that are no numbers count as 0, and by cosine a vector without length matches nothing.
     """
     asked = queries.select("query_id", "vector").toLocalIterator()
     sc = rows.sparkSession.sparkContext
@@ -72,7 +73,10 @@ def knn_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
 
     def run_block(part: list) -> DataFrame:
         ids = np.array([r.query_id for r in part])
-        matrix = np.array([r.vector for r in part], np.float64)
+        matrix = np.nan_to_num(np.array([r.vector for r in part], np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+        if metric == "cosine":
+            long = np.linalg.norm(matrix, axis=1) > 0
+            ids, matrix = ids[long], matrix[long]
         sent = sc.broadcast((ids, matrix))
 
         def run(batches: Iterator) -> Iterator:
@@ -85,7 +89,12 @@ def knn_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
                 if not batch.num_rows:
                     continue
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(batch.column(1).to_pylist(), np.float64)
+                x = np.nan_to_num(np.array(batch.column(1).to_pylist(), np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+                if metric == "cosine":
+                    long = np.linalg.norm(x, axis=1) > 0
+                    keys, x = keys[long], x[long]
+                if not len(x) or not len(ids):
+                    continue
                 s = q @ x.T
                 if metric == "cosine":
                     s = 1 - (1 - s / np.maximum(np.linalg.norm(x, axis=1)[None, :], 1e-300)) / 2

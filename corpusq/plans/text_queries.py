@@ -131,10 +131,9 @@ def html_headings(spark, d):
     return _marked(spark, d).select("page_id", F.size(h).alias("n"), F.coalesce(F.get(h, F.lit(0)), F.lit("")).alias("first_heading"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?]|\\.)', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> ''))::INT AS n FROM documents WHERE NOT regexp_matches(text, '\\.[0-9]')""")
+@query("""SELECT doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '\\.([0-9])', chr(2) || '\\1', 'g'), '([。！？!?]|\\.)', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> ''))::INT AS n FROM documents""")
 def sentence_split(spark, d):
-    docs = read(spark, d, "documents").where(~F.col("text").rlike(r"\.[0-9]"))
-    return docs.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
+    return read(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
 
 
 PAGES = "pg AS (SELECT source AS doc, doc_id AS page, text AS content FROM documents)"

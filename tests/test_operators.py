@@ -66,16 +66,39 @@ def test_vectors(spark):
 
 
 def test_fusion_numbers(spark):
-    lists = spark.createDataFrame([("a", 0, "l1", 1), ("b", 0, "l1", 2), ("a", 1, "l2", 1), ("c", 1, "l2", 2)], "id string, list_idx int, list_name string, rank int")
+    lists = spark.createDataFrame([("red", 0, "words", 1), ("blue", 0, "words", 2), ("green", 0, "words", 3), ("green", 1, "vectors", 1), ("red", 1, "vectors", 4)], "id string, list_idx int, list_name string, rank int")
     got = {r.id: r for r in fusion.rrf(lists).collect()}
-    assert got["a"].score == pytest.approx(2 / 61) and got["a"].sources == ["l1", "l2"] and got["b"].score == pytest.approx(1 / 62)
-    items = spark.createDataFrame([("f1:0", "/a.md", 0.9, 1, ["v"]), ("f1:1", "/a.md", 0.8, 3, ["k"]), ("f2:0", "/b.md", 0.85, 2, ["v"]), ("x", " ", 0.1, 4, ["v"])], "chunk_id string, file_key string, score double, ord int, sources array<string>")
-    g = {r.file_key: r for r in fusion.group_by_file(items, 0.5).collect()}
-    assert g["/a.md"].score == pytest.approx(1.3) and g["/a.md"].chunk_ids == ["f1:0", "f1:1"] and g["/a.md"].sources == ["k", "v"]
-    assert "__chunk__:x" in g and fusion.group_by_file(items, 0).where("file_key = '/a.md'").first().score == pytest.approx(0.9)
+    assert got["red"].score == pytest.approx(1 / 61 + 1 / 64) and sorted(got["red"].sources) == ["vectors", "words"]
+    assert got["green"].score == pytest.approx(1 / 63 + 1 / 61) and got["blue"].sources == ["words"]
+    rows = [("n1", "/notes/n.md", 0.4, 2, ["words"]), ("n2", "/notes/n.md", 0.7, 1, ["vectors"]), ("n3", "/notes/n.md", 0.2, 5, ["words"]), ("p1", "/p.md", 0.75, 3, ["words"]), ("alone", " ", 0.05, 4, ["words"])]
+    items = spark.createDataFrame(rows, "chunk_id string, file_key string, score double, ord int, sources array<string>")
+    g = {r.file_key: r for r in fusion.group_by_file(items, 0.25).collect()}
+    assert g["/notes/n.md"].score == pytest.approx(0.7 + 0.25 * (0.4 + 0.2)) and g["/notes/n.md"].chunk_ids == ["n2", "n1", "n3"] and g["/notes/n.md"].sources == ["vectors", "words"]
+    assert "__chunk__:alone" in g and fusion.group_by_file(items, 0).where("file_key = '/notes/n.md'").first().score == pytest.approx(0.7)
     assert fusion.group_by_file(items, top_k=0).isEmpty()
 
 
+def test_entries_of_one_chunk_are_appended(spark):
+    rows = [("f", "d", "c", "alpha beta", "lines:2-3"), ("f", "d", "c", "beta gamma alpha", "lines:10-12"), ("f", "d", "c", "alpha alpha", "lines:11-14")]
+    chunks = spark.createDataFrame(rows, "file_id string, dir_id string, chunk_id string, content string, locator string")
+    got = {r.term: r for r in P.build(chunks).collect()}
+    assert (got["alpha"].locator, got["alpha"].positions, got["alpha"].tf) == ("lines:2-3", [0, 2, 0, 1], 4)
+    assert (got["beta"].locator, got["beta"].positions, got["gamma"].locator) == ("lines:2-3", [1, 0], "lines:10-12")
+    turned = chunks.selectExpr("*", "-cast(regexp_extract(locator, '([0-9]+)', 1) as int) as entry")
+    assert {r.term: r for r in P.build(turned).collect()}["alpha"].locator == "lines:11-14"
+    assert got["alpha"].doc_length == 7
+
+
+def test_many_queries_clean_vectors_as_one_does(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [0.8, 0.6]), (8, [0.0, 0.0])], "query_id long, vector array<double>")
+    for metric in ("cosine", "l2", "dot"):
+        many = [(r.vec_id, round(r.score, 9)) for r in vectors.knn_many(rows, asked, 9, metric).where("query_id = 7").orderBy("rank").collect()]
+        assert many == [(r.vec_id, round(r.score, 9)) for r in vectors.knn(rows, [0.8, 0.6], 9, metric).collect()]
+    assert vectors.knn_many(rows, asked, 9).where("query_id = 8").isEmpty()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .!?。\n#`=-", max_size=400), st.integers(2, 30))
 def test_chunks_cover_the_text_and_keep_their_size(markdown, most):
