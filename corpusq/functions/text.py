@@ -132,12 +132,20 @@ def structured(line: Column) -> Column:
 
 
 def snippet(text: Column, needle: Column, around: int = 24, head: int = 48) -> Column:
-    """The first match with ``around`` characters on either side, or the first ``head`` characters."""
-    at = F.locate(needle, text) if isinstance(needle, str) else F.instr(text, needle)
+    """The first match with ``around`` characters on either side, or the first ``head`` characters; both sides are trimmed.
+
+    A needle that does not stand in the text is looked for by its parts of two characters or more, in their order; the
+    place then has the whole needle's length.  A blank needle or text gives the empty text.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    text, needle = strip(text), strip(F.lit(needle) if isinstance(needle, str) else needle)
+    parts = F.filter(F.transform(F.split(needle, r"[\s,，。；;、/]+"), F.trim), lambda p: F.length(p) >= 2)
+    found = F.filter(F.transform(F.concat(F.array(needle), parts), lambda p: F.instr(text, p)), lambda n: n > 0)
+    at = F.coalesce(F.get(found, F.lit(0)), F.lit(0))
     first = F.greatest(at - around, F.lit(1))
     last = F.least(at + F.length(needle) - 1 + around, F.length(text))
     hit = F.concat(F.when(first > 1, F.lit("...")).otherwise(F.lit("")), F.substring(text, first, last - first + 1), F.when(last < F.length(text), F.lit("...")).otherwise(F.lit("")))
-    return F.when((at > 0) & (F.length(needle) > 0), hit).otherwise(F.substring(text, 1, head))
+    return F.when((F.length(text) == 0) | (F.length(needle) == 0), "").when(at > 0, hit).otherwise(F.substring(text, 1, head))
 
 
 def search_text(text: Column) -> Column:

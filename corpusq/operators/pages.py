@@ -34,13 +34,53 @@ def proportional(docs: DataFrame, key: str, n_lines: str, n_pages: str) -> DataF
     return rows.select(key, "page", first.alias("first_line"), F.greatest(first, last).alias("last_line"))
 
 
-def locate(docs: DataFrame, pages: DataFrame, key: str, page: str, head: int = 40) -> DataFrame:
-    """The line at which each page's first characters stand in the document's markdown, null where they don't."""
-    start = F.substring(F.trim("content"), 1, head)
-    both = pages.join(docs.select(key, "markdown"), key)
-    at = F.instr(F.col("markdown"), start)
-    before = F.substring(F.col("markdown"), F.lit(1), at - 1)
-    return both.select(key, page, F.when((at > 0) & (F.length(start) > 0), F.size(lines(before))).alias("line"))
+def page_ranges(markdown: str, pages: list[tuple[int, list[str]]], share: int = 20) -> list[tuple[int, int, int]]:
+    """(page, first, last) of a document's pages, given as (page, texts) in order.
+
+    A page goes from the first line at or after the end of the page before that holds its first text, to the next that
+    holds its last.  A page without texts, or whose first text is not found, takes its share of the lines that are left.
+    Without pages, every ``share`` lines are one.  Pages for which no line is left are not listed.
+    """
+    rows = (markdown or "").split("\n")
+    total, at, out = len(rows), 1, []
+    if not pages:
+        size = -(-total // -(-total // share))
+        return [(i + 1, a + 1, min(a + size, total)) for i, a in enumerate(range(0, total, size))]
+    for i, (page, texts) in enumerate(pages):
+        if at > total:
+            break
+        texts = [t for t in (x.strip() for x in texts or [] if x) if t]
+        holds = lambda t, a: next((n for n in range(a, total + 1) if t in rows[n - 1]), None)
+        first = holds(texts[0], at) if texts else None
+        if first is None:
+            first = at
+            last = min(at + max(1, -(-(total - at + 1) // (len(pages) - i))) - 1, total)
+        else:
+            last = holds(texts[-1], first) or first
+        out.append((page, first, last))
+        at = last + 1
+    return out
+
+
+def locate(docs: DataFrame, pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, page, first_line, last_line) of docs(key, markdown) by pages(key, page, texts): see ``page_ranges``.
+
+    Where a page is looked for depends on the page before, so a document is one row of an Arrow batch.
+    """
+    spec = F.array_sort(F.collect_list(F.struct(F.col(page).cast("int").alias("page"), F.col("texts").alias("texts"))))
+    rows = docs.select(key, "markdown").join(pages.groupBy(key).agg(spec.alias("__pages")), key, "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [page_ranges(m, [(p["page"], p["texts"]) for p in ps or []]) for m, ps in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            keys = b.column(0).take(pa.array([i for i, x in enumerate(got) for _ in x], pa.int64()))
+            flat = [x for g in got for x in g]
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([x[i] for x in flat], pa.int32()) for i in range(3)]], ["key", "page", "first_line", "last_line"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, page int, first_line int, last_line int").withColumnRenamed("key", key)
 
 
 def merge_texts(direct: DataFrame, layout: DataFrame, key: str, page: str) -> DataFrame:

@@ -73,9 +73,50 @@ def type_differences(cells: DataFrame, axis: str = "row", rule: str = "mean", le
     return rows.groupBy("sheet", axis).agg((F.max if rule == "any" else F.avg)(differs).alias("ratio")).where(F.col("ratio") >= least)
 
 
-def compression(total: Column, kept: Column) -> Column:
-    """How a region is written: ``none`` below 400 cells or for a gain of 10 % or less."""
-    return F.when((total < SMALL) | (1 - kept / F.nullif(total.cast("double"), F.lit(0.0)) <= GAIN), "none").otherwise("compressed")
+REGION = ["sheet", "top", "left", "bottom", "right"]
+
+
+def _kept(cells: DataFrame, found: DataFrame, axis: str, rule: str, least: float) -> DataFrame:
+    """(region, kept): the lines of every region whose types differ from the line before, in order.
+
+    Cells without a row are empty.  So a line differs at a cell whose neighbour before is empty or of another type, and
+    after a cell that nothing follows.
+    """
+    across, first, last = ("col", "top", "bottom") if axis == "row" else ("row", "left", "right")
+    w = Window.partitionBy(*REGION, across).orderBy(axis)
+    near = cells.withColumns({"__p": F.lag(F.struct(axis, "dtype")).over(w), "__n": F.lead(axis).over(w)})
+    at = F.col(axis)
+    own = (at > F.col(first)) & ~F.coalesce((F.col(f"__p.{axis}") == at - 1) & (F.col("__p.dtype") == F.col("dtype")), F.lit(False))
+    after = (at < F.col(last)) & F.coalesce(F.col("__n") > at + 1, F.lit(True))
+    both = F.filter(F.array(F.when(own, at), F.when(after, at + 1)), lambda x: x.isNotNull())
+    n = near.select(*REGION, F.explode(both).alias("line")).groupBy(*REGION, "line").agg(F.count("*").alias("n"))
+    width = (F.col("right") - F.col("left") if axis == "row" else F.col("bottom") - F.col("top")) + 1
+    ratio = F.lit(1.0) if rule == "any" else F.col("n") / width
+    if least <= 0:
+        return found.select(*REGION, F.sequence(first, last).alias("kept"))
+    return n.where(ratio >= least).groupBy(*REGION).agg(F.array_sort(F.collect_list(F.col("line").cast("int"))).alias("kept"))
+
+
+def compression_plans(cells: DataFrame, found: DataFrame, rule: str = "any", least: float = 0.8) -> DataFrame:
+    """How every region(sheet, top, left, bottom, right) is written: mode ``row``, ``column`` or ``none``, the kept lines, the ratio saved.
+
+    A line is kept if its cells(sheet, row, col, dtype) differ in type from the line before in a share of ``least``; by the
+    rule ``any`` one such cell is enough.  The axis that loses the greater share of its lines is taken if that is over
+    10 %; ties and regions below 400 cells are ``none``, which keeps all lines (kept is null).
+    """
+    inside = cells.where("dtype <> 'Empty'").join(found.select(*REGION).distinct(), "sheet").where("row between top and bottom and col between left and right")
+    found = found.select(*REGION).distinct()
+    rows = _kept(inside, found, "row", rule, least).withColumnRenamed("kept", "__r")
+    cols = _kept(inside, found, "col", rule, least).withColumnRenamed("kept", "__c")
+    height, width = F.col("bottom") - F.col("top") + 1, F.col("right") - F.col("left") + 1
+    out = found.join(rows, REGION, "left").join(cols, REGION, "left")
+    none = F.array().cast("array<int>")
+    out = out.withColumns({"__r": F.coalesce("__r", none), "__c": F.coalesce("__c", none)})
+    by_row, by_col = 1 - F.size("__r") / height, 1 - F.size("__c") / width
+    mode = F.when(height * width < SMALL, "none").when((by_row > by_col) & (by_row > GAIN), "row").when((by_col > by_row) & (by_col > GAIN), "column").otherwise("none")
+    out = out.withColumn("mode", mode)
+    pick = lambda a, b, c: F.when(F.col("mode") == "row", a).when(F.col("mode") == "column", b).otherwise(c)
+    return out.select(*REGION, "mode", pick(F.col("__r"), F.col("__c"), F.lit(None)).alias("kept"), pick(by_row, by_col, F.lit(0.0)).alias("ratio"))
 
 
 def overview(cells: DataFrame) -> DataFrame:

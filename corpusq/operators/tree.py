@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.lineage import cut
+
 
 def prefixes(path: Column) -> Column:
     """Every ancestor of a path and the path itself; ``.`` stands above all."""
@@ -35,7 +37,7 @@ def related(a: Column, b: Column) -> Column:
 def expand(nodes: DataFrame, roots: DataFrame, most: int | None = None, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """(root, id, level) of all nodes below the roots, level 0 being the root; at most ``most`` levels; cycles end.
 
-    One equi-join a level; each level is checkpointed so that plans stay small.
+    One equi-join a level; each level is written to the checkpoint folder, so that it is computed once and plans stay small.
     """
     edges = nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("child"), F.col(parent).alias("up"))
     level = roots.select(F.col(key).alias("root"), F.col(key).alias("id"), F.lit(0).alias("level"))
@@ -43,7 +45,7 @@ def expand(nodes: DataFrame, roots: DataFrame, most: int | None = None, key: str
     while most is None or n < most:
         n += 1
         level = level.join(edges, level["id"] == edges["up"]).select("root", F.col("child").alias("id"), F.lit(n).alias("level"))
-        level = level.join(out.select("root", "id"), ["root", "id"], "left_anti")
+        level = cut(level.join(out.select("root", "id"), ["root", "id"], "left_anti").distinct())
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -59,11 +61,11 @@ def scope(candidates: DataFrame, bases: DataFrame, path: str = "path") -> DataFr
 def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     """clue nodes(node_id, parent_id, pos, name, kind) with path (names) and order (positions) from the root."""
     w = lambda c: F.lpad(c.cast("string"), 8, "0")
-    level = nodes.where("parent_id is null").select("*", F.lit("").alias("path"), w(F.col("pos")).alias("order"))
+    level = cut(nodes.where("parent_id is null").select("*", F.lit("").alias("path"), w(F.col("pos")).alias("order")))
     out = level
     for _ in range(most):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("__p"), F.col("order").alias("__o"))
-        level = nodes.join(up, "parent_id").select(*nodes.columns, F.concat(F.col("__p"), F.when(F.col("__p") == "", "").otherwise("/"), F.trim("name")).alias("path"), F.concat_ws("/", "__o", w(F.col("pos"))).alias("order"))
+        level = cut(nodes.join(up, "parent_id").select(*nodes.columns, F.concat(F.col("__p"), F.when(F.col("__p") == "", "").otherwise("/"), F.trim("name")).alias("path"), F.concat_ws("/", "__o", w(F.col("pos"))).alias("order")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -96,8 +98,26 @@ def add_child(nodes: DataFrame, parent: str, node: DataFrame, position: int | No
 
 
 def update(nodes: DataFrame, node_id: str, **values) -> DataFrame:
-    """Changed columns of one node; the root stays, and a time format only stands with a timeline."""
+    """Changed columns of one node; the root stays, and a time format only stands with a timeline.
+
+    A new name must not be blank, hold a slash or be a sibling's; where nodes have paths, the node's and those below it
+    are moved along.
+    """
     here = (F.col("node_id") == node_id) & F.col("parent_id").isNotNull()
+    if "name" in values:
+        name = values["name"].strip()
+        if not name or "/" in name:
+            raise ValueError("a name must not be blank or hold a slash")
+        one = nodes.where(here).select("parent_id", *(["path"] if "path" in nodes.columns else [])).first()
+        if one is not None and not nodes.where((F.col("parent_id") == one["parent_id"]) & (F.col("node_id") != node_id) & (F.trim("name") == name)).isEmpty():
+            raise ValueError("the name is taken")
+        if one is not None and "path" in nodes.columns:
+            old = one["path"]
+            new = f"{old.rpartition('/')[0]}/{name}".lstrip("/")
+            below = F.concat(F.lit(new), F.substring(F.col("path"), F.lit(len(old) + 1), F.length("path")))
+            clue = nodes.where(here).select("clue_id").first()[0] if "clue_id" in nodes.columns else None
+            same = F.col("clue_id") == clue if clue is not None else F.lit(True)
+            nodes = nodes.withColumn("path", F.when(same & ((F.col("path") == old) | F.startswith("path", F.lit(old + "/"))), below).otherwise(F.col("path")))
     for name, value in values.items():
         nodes = nodes.withColumn(name, F.when(here, F.lit(value)).otherwise(F.col(name)))
     if "organization" in nodes.columns and "time_format" in nodes.columns:

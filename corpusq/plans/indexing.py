@@ -64,7 +64,8 @@ def index(catalog: Catalog, root: str, project: str, converters: Converters | No
     converters, provider = converters or Converters(), provider or HashingEmbedder()
     found = scan(spark, root, list(converters.by)).where("supported")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    hashed = found.join(raw, "path").select("path", "relative_path", "dir", "size", F.when(F.col("size") <= limit, F.md5("content")).otherwise(F.concat_ws(":", F.col("size").cast("string"), F.unix_millis("modified").cast("string"))).alias("hash"))
+    # Hashed in the scan, so that no bytes are shuffled.
+    hashed = found.join(raw.select("path", F.md5("content").alias("md5")), "path").select("path", "relative_path", "dir", "size", F.when(F.col("size") <= limit, F.col("md5")).otherwise(F.concat_ws(":", F.col("size").cast("string"), F.unix_millis("modified").cast("string"))).alias("hash"))
     now = hashed.withColumn("file_id", file_id(F.lit(project), F.col("relative_path")))
     before = catalog.read("files")
     archives = catalog.read("archives").select("file_id", F.lit(True).alias("archived"))

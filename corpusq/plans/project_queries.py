@@ -46,10 +46,17 @@ def page_proportional(spark, d):
     return pages.proportional(docs, "doc_id", "lines", "pages")
 
 
-@query("SELECT conv_id, turn + 1 AS page, CASE WHEN strpos(c.t, substr(trim(text), 1, 40)) > 0 AND length(trim(text)) > 0 THEN len(string_split(substr(c.t, 1, strpos(c.t, substr(trim(text), 1, 40)) - 1), chr(10)))::INT END AS line FROM conversations JOIN (SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id) c USING (conv_id)")
+# Every page begins and ends with lines of its own, and the same line stands on every page.
+FRAMED = "m AS (SELECT conv_id, turn + 1 AS page, 'open ' || (turn + 1) || chr(10) || 'the same line' || chr(10) || text || chr(10) || 'close ' || (turn + 1) || '.' AS content FROM conversations), n AS (SELECT *, len(string_split(content, chr(10))) AS n FROM m), o AS (SELECT *, coalesce(sum(n + 3) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n)"
+
+
+@query(f"WITH {FRAMED} SELECT conv_id, page::INT AS page, (b + CASE WHEN page % 2 = 0 THEN 2 ELSE 1 END)::INT AS first_line, (b + n)::INT AS last_line FROM o")
 def page_locate(spark, d):
-    t = _turns(spark, d)
-    return pages.locate(pages.to_markdown(t, "conv_id", "page"), t, "conv_id", "page")
+    number = F.col("page").cast("string")
+    t = _turns(spark, d).withColumn("content", F.concat(F.lit("open "), number, F.lit("\nthe same line\n"), F.col("content"), F.lit("\nclose "), number, F.lit(".")))
+    first = F.when(F.col("page") % 2 == 0, F.lit("the same line")).otherwise(F.concat(F.lit("open "), number))
+    texts = t.select("conv_id", "page", F.array(first, F.concat(F.lit("close "), number, F.lit("."))).alias("texts"))
+    return pages.locate(pages.to_markdown(t, "conv_id", "page"), texts, "conv_id", "page")
 
 
 @query("SELECT conv_id, turn + 1 AS page, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE 'a' || chr(10) || 'b' END AS content FROM conversations")

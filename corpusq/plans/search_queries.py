@@ -298,8 +298,10 @@ def file_representative(spark, d):
 
 
 @query(f"""WITH {CONV_ITEMS}, {GROUPED}, top AS (SELECT file_id FROM g ORDER BY round(rep + greatest(0, total - rep) * 0.35::DOUBLE, 9) DESC, ord LIMIT 25),
-h AS (SELECT items.*, c.content, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS n FROM items JOIN top USING (file_id) JOIN (SELECT chunk_id, content FROM chunks) c USING (chunk_id))
-SELECT file_id AS file_key, chunk_id, n, CASE WHEN strpos(content, 'thing') > 0 THEN (CASE WHEN strpos(content, 'thing') > 25 THEN '...' ELSE '' END) || substr(content, greatest(strpos(content, 'thing') - 24, 1), least(strpos(content, 'thing') + 4 + 24, length(content)) - greatest(strpos(content, 'thing') - 24, 1) + 1) || (CASE WHEN strpos(content, 'thing') + 28 < length(content) THEN '...' ELSE '' END) ELSE substr(content, 1, 48) END AS snippet FROM h WHERE n <= 3""")
+h AS (SELECT items.*, c.content, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS n FROM items JOIN top USING (file_id) JOIN (SELECT chunk_id, content FROM chunks) c USING (chunk_id)),
+t AS (SELECT * REPLACE (regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content) FROM h WHERE n <= 3),
+p AS (SELECT *, CASE WHEN strpos(content, 'thing, attion') > 0 THEN strpos(content, 'thing, attion') WHEN strpos(content, 'thing') > 0 THEN strpos(content, 'thing') ELSE strpos(content, 'attion') END AS spot FROM t)
+SELECT file_id AS file_key, chunk_id, n, CASE WHEN content = '' THEN '' WHEN spot > 0 THEN (CASE WHEN spot > 25 THEN '...' ELSE '' END) || substr(content, greatest(spot - 24, 1), least(spot + 12 + 24, length(content)) - greatest(spot - 24, 1) + 1) || (CASE WHEN spot + 36 < length(content) THEN '...' ELSE '' END) ELSE substr(content, 1, 48) END AS snippet FROM p""")
 def keyword_snippets(spark, d):
     from corpusq.functions.text import snippet
 
@@ -307,7 +309,7 @@ def keyword_snippets(spark, d):
     hits = items.select("file_key", "chunk_id", F.col("ord").alias("rank"))
     found = fusion.snippets(fusion.group_by_file(items, top_k=25), hits)
     chunks = conversations_as_chunks(spark, d).select("chunk_id", "content")
-    return found.join(chunks, "chunk_id").select("file_key", "chunk_id", "n", snippet(F.col("content"), F.lit("thing")).alias("snippet"))
+    return found.join(chunks, "chunk_id").select("file_key", "chunk_id", "n", snippet(F.col("content"), F.lit("thing, attion")).alias("snippet"))
 
 
 def sql_count(where: str, terms) -> str:

@@ -1,4 +1,4 @@
-"""Versioned Parquet tables with a pointer to the current version; one writer at a time."""
+"""Versioned Parquet tables; the last numbered pointer names the current versions; one writer at a time."""
 
 from __future__ import annotations
 
@@ -35,11 +35,15 @@ class Catalog:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
     def current(self) -> dict[str, str]:
+        last = self._pointers()[-1:]
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/pointers/{last[0]}").collect())) if last else {}
+
+    def _pointers(self) -> list[str]:
+        """Names of the committed pointers, oldest first; the last one is current."""
         fs, path = self._fs()
-        at = path(f"{self.root}/current.json")
-        if not fs.exists(at):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(str(at.toString())).collect()))
+        at = path(f"{self.root}/pointers")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
     def schema(self, name: str) -> T.StructType:
         return T._parse_datatype_string(SCHEMAS[name])
@@ -75,9 +79,15 @@ class Catalog:
             out.write.partitionBy("tenant_id").parquet(f"{self.root}/{name}/{version}")
         pointer = self.current() | dict.fromkeys(tables, version)
         fs, path = self._fs()
-        stream = fs.create(path(f"{self.root}/next.json"), True)
+        known = self._pointers()
+        number = int(known[-1].split(".")[0]) + 1 if known else 1
+        draft = path(f"{self.root}/pointers/_{version}")
+        stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(pointer).encode()))
         stream.close()
-        fs.delete(path(f"{self.root}/current.json"), False)
-        fs.rename(path(f"{self.root}/next.json"), path(f"{self.root}/current.json"))
+        at = path(f"{self.root}/pointers/{number:012d}.json")
+        if fs.exists(at) or not fs.rename(draft, at):
+            raise RuntimeError("another writer has committed in the meantime")
+        for old in known[:-8]:
+            fs.delete(path(f"{self.root}/pointers/{old}"), False)
         return version

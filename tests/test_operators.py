@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq import config
 from corpusq.functions import text as X
-from corpusq.operators import bm25, changes, chunking, evaluation, fusion, lines, sheets, tree, vectors
+from corpusq.operators import bm25, changes, chunking, evaluation, fusion, lines, pages, sheets, tree, vectors
 from corpusq.operators import postings as P
 
 
@@ -27,6 +27,8 @@ def test_tokens_and_text(spark):
     assert one(spark, X.locator_range(F.lit("page:3"))) is None
     assert one(spark, X.snippet(F.lit("x" * 40 + "needle" + "y" * 40), F.lit("needle"))) == "..." + "x" * 24 + "needle" + "y" * 24 + "..."
     assert one(spark, X.snippet(F.lit("short text"), F.lit("none"))) == "short text"
+    assert one(spark, X.snippet(F.lit("\n" + "x" * 40 + "dogs\n"), F.lit(" cats, dogs "))) == "..." + "x" * 24 + "dogs"
+    assert one(spark, X.snippet(F.lit("  "), F.lit("a"))) == one(spark, X.snippet(F.lit("text"), F.lit(" "))) == ""
     assert one(spark, X.strip_page_markers(F.lit("\n<!-- page: 1 -->\na\n\n\n\nb\n"))) == "a\n\nb"
     assert one(spark, X.relative_path(F.lit("a/b/c"), F.lit("a"))) == "b/c"
     assert one(spark, X.chunk_id(F.lit("f"), F.lit(12345))) == "f:12345"
@@ -142,6 +144,13 @@ def test_trees(spark):
     with pytest.raises(ValueError):
         tree.add_child(nodes, "r", nodes.where("node_id = 'm'"))
     assert tree.update(nodes, "m", name="Z").where("name = 'Z'").count() == 1
+    moved = {r.node_id: r.path for r in tree.update(p, "f", name=" G ").collect()}
+    assert moved == {"r": "", "f": "G", "e": "Empty", "l": "G/L", "m": "M"}
+    with pytest.raises(ValueError):
+        tree.update(p, "f", name="Empty")
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(12)], "id string, parent_id string")
+    deep = tree.expand(chain, chain.where("id = '0'"))
+    assert deep.count() == 12 and "Join" not in deep._jdf.queryExecution().optimizedPlan().toString()
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
     assert tree.expand(loop, loop.where("id = 'a'")).count() == 2
 
@@ -172,6 +181,33 @@ def test_sheets():
     assert sheets.components({(1, 1), (1, 2), (2, 1), (2, 2), (9, 9), (9, 10)}) == [(1, 1, 2, 2)]
 
 
+@pytest.mark.parametrize("rule,least", [("any", 0.8), ("mean", 0.5), ("mean", 0.0)])
+def test_compression(spark, rule, least):
+    import random
+
+    rng = random.Random(5)
+    boxes = {"a": (1, 1, 30, 20), "b": (3, 2, 60, 9), "c": (1, 1, 4, 4), "d": (1, 1, 2, 300), "e": (1, 1, 500, 1)}
+    kinds = {s: {(r, c): rng.choice(["Text", "Number", "Empty"]) if (r % 3 == 0 if s in "bd" else c % 4 == 0) else "Text" for r in range(t, b + 1) for c in range(left, right + 1)} for s, (t, left, b, right) in boxes.items()}
+    cells = spark.createDataFrame([(s, r, c, k) for s, g in kinds.items() for (r, c), k in g.items()], "sheet string, row int, col int, dtype string")
+    found = spark.createDataFrame([(s, *b) for s, b in boxes.items()], "sheet string, top int, left int, bottom int, right int")
+    got = {r.sheet: (r.mode, r.kept, round(r.ratio, 9)) for r in sheets.compression_plans(cells, found, rule, least).collect()}
+    for s, (t, left, b, right) in boxes.items():
+        g, h, w = kinds[s], b - t + 1, right - left + 1
+        share = lambda x: (max if rule == "any" else lambda v: sum(v) / len(v))(x)
+        rows = [r for r in range(t, b + 1) if (share([float(g[r, c] != g[r - 1, c]) for c in range(left, right + 1)]) if r > t else 0) >= least]
+        cols = [c for c in range(left, right + 1) if (share([float(g[r, c] != g[r, c - 1]) for r in range(t, b + 1)]) if c > left else 0) >= least]
+        x, y = 1 - len(rows) / h, 1 - len(cols) / w
+        want = ("none", None, 0.0) if h * w < 400 else ("row", rows, round(x, 9)) if x > y and x > 0.1 else ("column", cols, round(y, 9)) if y > x and y > 0.1 else ("none", None, 0.0)
+        assert got[s] == want
+
+
+def test_pages_are_found_from_the_page_before_on():
+    text = "\n".join(["same", "one", "same", "two", "end", "rest"] + ["x"] * 6)
+    assert pages.page_ranges(text, [(1, ["same", "one"]), (2, ["same", "end"]), (3, []), (4, ["missing"]), (5, ["x"])]) == [(1, 1, 2), (2, 3, 5), (3, 6, 8), (4, 9, 10), (5, 11, 11)]
+    assert pages.page_ranges("\n" * 49, []) == [(1, 1, 17), (2, 18, 34), (3, 35, 50)]
+    assert pages.page_ranges("a", [(1, ["a"]), (2, ["a"])]) == [(1, 1, 1)]
+
+
 def test_config():
     assert config.merge({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": None, "e": 4}, "d": [1]}) == {"a": {"c": 2, "e": 4}, "d": [1]}
     assert config.substitute({"k": ["${X}-y"]}, {"X": "1"}) == {"k": ["1-y"]}
