@@ -63,3 +63,44 @@ def resolve(own: dict | None = None, env: dict[str, str] | None = None) -> dict:
     if out["summary"]["mode"] not in ("batch", "skip"):
         raise ValueError("the summary mode must be batch or skip")
     return out
+
+
+def plugin_options(raw: dict | None) -> dict:
+    """Converters' options: either spelling of a name is taken, numbers have floors, what is not usable gets the default."""
+    raw = raw if isinstance(raw, dict) else {}
+
+    def first(source: dict, names: tuple, ok) -> object | None:
+        return next((source[n] for n in names if n in source and ok(source[n])), None)
+
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == v and abs(v) != float("inf")
+    text = lambda v: isinstance(v, str) and v.strip() != ""
+    record = lambda v: isinstance(v, dict)
+    out: dict = {}
+    pages = first(raw, ("text_extraction", "textExtraction"), record)
+    if pages is not None:
+        out["text_extraction"] = {k: v for k, v in pages.items() if k not in ("min_text_chars_per_page", "minTextCharsPerPage")}
+        least = first(pages, ("minTextCharsPerPage", "min_text_chars_per_page"), number)
+        if least is not None:
+            out["text_extraction"]["min_text_chars_per_page"] = max(0, int(least // 1))
+    layout = first(raw, ("layout", "minerU"), record)
+    if layout is not None:
+        url = first(layout, ("serverUrl", "server_url", "apiHost", "api_host"), text)
+        counts = {name: first(layout, names, lambda v: number(v) and v >= 1) or default for name, names, default in (("max_concurrency", ("max_concurrency", "maxConcurrency"), 4), ("page_concurrency", ("page_concurrency", "pageConcurrency"), 2))}
+        image = first(layout, ("crop_image_format", "cropImageFormat"), lambda v: v in ("jpeg", "png")) or "png"
+        out["layout"] = ({"server_url": url} if url else {}) | counts | {"crop_image_format": image}
+    converter = first(raw, ("converter",), record)
+    return out | ({"converter": converter} if converter is not None else {})
+
+
+def project_path(path: str, bases: list[str], exists=os.path.isdir) -> str:
+    """An absolute path: itself, or the path below the first of the bases where it exists, else below the first base."""
+    if os.path.isabs(path):
+        return os.path.normpath(path)
+    tried = [os.path.normpath(os.path.join(b, path)) for b in bases if b]
+    return next((p for p in tried if exists(p)), tried[0] if tried else os.path.abspath(path))
+
+
+def archive_path(root: str, dir_path: str, folder: str = ".index") -> str:
+    """Where a directory's archive lies below an index's root."""
+    inner = "" if dir_path in ("", ".") else dir_path.strip("/") + "/"
+    return f"{root.rstrip('/')}/{inner}{folder}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.config import resolve
 from corpusq.functions.text import LIBRARY_STOP_WORDS, STOP_WORDS, line_slice
-from corpusq.operators import bm25, changes, lines, tree, vectors
+from corpusq.operators import bm25, changes, clues, lines, tree, vectors
 from corpusq.plans import indexing, retrieval
 from corpusq.sources.catalog import SCHEMAS, Catalog
 
@@ -44,6 +44,78 @@ class Engine:
         status = self.catalog.read("files") if profile == "cloud" else None
         return retrieval.search(chunks, self.catalog.read("postings"), vecs, vector, query, self.terms(keyword or query, profile), top_k or self.settings["search"]["default_top_k"], profile, self.scope(paths), keyword, status=status)
 
+    def search_results(self, query: str, keyword: str | None = None, top_k: int | None = None, paths: list[str] | None = None, profile: str = "local") -> DataFrame:
+        """Results as they are shown: path, locator, text and summary, up to three keyword snippets, and the clues that name the file."""
+        k = top_k or self.settings["search"]["default_top_k"]
+        chunks, archives, files = changes.compact(self.catalog.read("chunks")), self.catalog.read("archives"), self.catalog.read("files")
+        best = self.search(query, keyword, k, paths, profile).drop("content", "snippet")
+        out = retrieval.hydrate(best, chunks, archives, files)
+        if keyword and keyword.strip():
+            hits = bm25.search(self.catalog.read("postings"), self.terms(keyword, profile), profile, self.scope(paths), 3 * k).select("chunk_id", "score").join(chunks.select("chunk_id", "file_id"), "chunk_id")
+            out = out.join(retrieval.file_snippets(hits, best, keyword, chunks, archives, files), "file_id", "left")
+        else:
+            out = out.withColumn("snippets", F.lit(None).cast("array<struct<chunk_id:string,locator:string,text:string>>"))
+        if profile == "cloud":
+            return out.orderBy(*retrieval.by_score())
+        nodes = tree.paths(self.catalog.read("clue_nodes")) if self.catalog.exists("clue_nodes") else self.catalog.read("clue_nodes").withColumn("path", F.lit(""))
+        return out.join(clues.references(self.catalog.read("clues"), nodes, best), "file_id", "left").orderBy(*retrieval.by_score())
+
+    # Curated trees: every change is a commit of both tables.
+
+    def clue_list(self, project: str | None = None) -> DataFrame:
+        return clues.listing(self.catalog.read("clues"), self.catalog.read("clue_nodes"), project)
+
+    def clue_create(self, project: str, name: str, description: str = "", principle: str = "", organization: str = "tree", time_format: str | None = None) -> str:
+        clue, own = clues.create(self.spark, project, name, description, principle, organization, time_format)
+        both = clues.save(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue, own)
+        self.catalog.commit(clues=both[0], clue_nodes=both[1])
+        return clue.first()["clue_id"]
+
+    def clue_nodes(self, clue_id: str, path: str = "") -> DataFrame:
+        """Nodes of a clue with their paths, at or below a path, in the tree's order."""
+        own = clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1]
+        return tree.subtree(tree.paths(own), path).orderBy("order")
+
+    def clue_tree(self, clue_id: str, depth: int | None = None) -> str:
+        """The clue as a drawing, under its name."""
+        name = self.catalog.read("clues").where(F.col("clue_id") == clue_id).first()
+        rows = [r.asDict() for r in clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1].collect()]
+        return tree.render([r | ({"name": name["name"]} if r["parent_id"] is None else {}) for r in rows], depth)
+
+    def _clue_commit(self, clue_id: str, own: DataFrame) -> None:
+        rest = self.catalog.read("clue_nodes").where(F.col("clue_id") != clue_id)
+        stamp = self.catalog.read("clues").withColumn("updated_at", F.when(F.col("clue_id") == clue_id, F.current_timestamp()).otherwise(F.col("updated_at")))
+        self.catalog.commit(clues=stamp, clue_nodes=rest.unionByName(own.select(*rest.columns)))
+
+    def clue_add(self, clue_id: str, parent: str, name: str, kind: str = "folder", position: int | None = None, **values) -> None:
+        """A folder or leaf under the folder at a path of names."""
+        own = clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1]
+        up = tree.find(tree.paths(own), parent).first()
+        if up is None:
+            raise ValueError(f"there is no node at {parent!r}")
+        import uuid
+
+        given = values | {"clue_id": clue_id, "node_id": uuid.uuid4().hex, "parent_id": up["node_id"], "kind": kind, "name": name.strip()}
+        row = self.spark.createDataFrame([tuple(given.get(f.name) for f in own.schema)], own.schema)
+        self._clue_commit(clue_id, tree.add_child(own, up["node_id"], row, position))
+
+    def clue_update(self, clue_id: str, path: str, **values) -> None:
+        own = clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1]
+        at = tree.find(tree.paths(own), path).first()
+        if at is None or at["parent_id"] is None:
+            raise ValueError(f"there is no node below the root at {path!r}")
+        self._clue_commit(clue_id, tree.update(own, at["node_id"], **values))
+
+    def clue_remove(self, clue_id: str, path: str) -> None:
+        own = tree.paths(clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1])
+        if not path.strip("/ ") or tree.find(own, path).isEmpty():
+            raise ValueError(f"there is no node below the root at {path!r}")
+        self._clue_commit(clue_id, tree.remove(own, "/".join(x.strip() for x in path.split("/") if x.strip())))
+
+    def clue_delete(self, clue_id: str) -> None:
+        both = clues.delete(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)
+        self.catalog.commit(clues=both[0], clue_nodes=both[1])
+
     def keyword_search(self, text: str, top_k: int | None = None, paths: list[str] | None = None) -> DataFrame:
         return bm25.search(self.catalog.read("postings"), self.terms(text), dirs=self.scope(paths), top_k=top_k or self.settings["search"]["default_top_k"])
 

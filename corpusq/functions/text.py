@@ -53,6 +53,11 @@ def line_slice(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines(text), a, b - a + 1), "\n")
 
 
+def lines_between(text: Column, first: Column, last: Column) -> Column:
+    """Lines first..last, from 1; what lies beyond the text's end is left out."""
+    return F.array_join(F.slice(lines(text), F.greatest(first, F.lit(1)), F.greatest(last - F.greatest(first, F.lit(1)) + 1, F.lit(0))), "\n")
+
+
 def locator_range(locator: Column) -> Column:
     """struct(first, last) of ``line:a``, ``lines:a-b``; null where the locator is of another kind."""
     p = r"^lines?:(\d+)(?:-(\d+))?$"
@@ -186,6 +191,27 @@ def glob_regex(pattern: str) -> str:
     return "^" + re.sub(r"\*\*/|\*\*|\*|\?|[^*?]+", lambda m: parts.get(m[0]) or re.escape(m[0]), pattern) + "$"
 
 
+def positive_int(value: Column, text: bool = True) -> Column:
+    """A whole number above 0, or null; of a text the digits that it begins with."""
+    n = F.regexp_extract(value, r"^\s*\+?(\d+)", 1).try_cast("bigint") if text else F.when(value == F.floor(value), value).try_cast("bigint")
+    return F.when(n > 0, n)
+
+
+def tokens_by_length(text: Column) -> Column:
+    """An estimate: a quarter of the characters."""
+    return F.ceil(F.length(text) / 4)
+
+
+def tokens_by_sample(total: Column, sample: Column, tokens: Column) -> Column:
+    """An estimate from a sample of so many characters with so many tokens."""
+    return F.when(sample > 0, F.ceil(total / sample * tokens)).otherwise(0)
+
+
+def archive(*parts: tuple[str, Column]) -> Column:
+    """A map of an archive's names to their texts."""
+    return F.map_from_entries(F.array(*[F.struct(F.lit(name), value.cast("string")) for name, value in parts]))
+
+
 def query_terms(query: str) -> list[str]:
     """Terms of a query: without brackets and question marks, split at punctuation and spaces, two characters at least."""
     text = re.sub(r"[（(][^）)]*[）)]", " ", query)

@@ -74,3 +74,13 @@ def snippets(files: DataFrame, keyword_hits: DataFrame, most: int = 3) -> DataFr
     """At most ``most`` keyword hits(file_key, chunk_id, rank, ...) of each listed file, in rank order."""
     w = Window.partitionBy("file_key").orderBy("rank")
     return keyword_hits.join(files.select("file_key"), "file_key", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+
+
+def best_per_chunk(rows: DataFrame, least: float = 0.0, top_k: int | None = None) -> DataFrame:
+    """(chunk_id, score): the highest score of every chunk over several lists(chunk_id, score), best first.
+
+    Scores below ``least`` don't count; 0 or less keeps all.
+    """
+    kept = rows.where(F.col("score") >= least) if least > 0 else rows
+    best = kept.groupBy("chunk_id").agg(F.max("score").alias("score"))
+    return best if top_k is None else best.orderBy(F.col("score").desc(), "chunk_id").limit(top_k)

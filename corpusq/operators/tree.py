@@ -58,6 +58,57 @@ def scope(candidates: DataFrame, bases: DataFrame, path: str = "path") -> DataFr
     return up.join(bases.select("base").distinct(), "base", "left_semi").drop("base").distinct()
 
 
+def folder_of(path: Column) -> Column:
+    return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(".")
+
+
+def descendant_files(files: DataFrame) -> DataFrame:
+    """(relative_path, file_id, archive): every directory with each file at or below it once, the archive of the nearest place.
+
+    files(path, file_id, archive).  Rows rather than lists, as the root's list is the whole project.
+    """
+    at = folder_of(F.col("path"))
+    rows = files.select("file_id", "archive", "path", F.explode(prefixes(at)).alias("relative_path"))
+    near = F.struct(F.size(F.split("path", "/")).alias("depth"), "path")
+    return rows.groupBy("relative_path", "file_id").agg(F.min_by("archive", near).alias("archive"))
+
+
+def scoped_files(directories: DataFrame, files: DataFrame, scope_id: str) -> DataFrame:
+    """(file_id, path, summary) of indexed files at or below a directory, or of a project, with paths from there on.
+
+    directories(dir_id, project_id, parent_dir_id, relative_path), files(file_id, dir_id, name, summary, status).  The
+    scope's path is one row, joined by project and path.
+    """
+    base = directories.where((F.col("dir_id") == scope_id) | ((F.col("project_id") == scope_id) & F.col("parent_dir_id").isNull()))
+    base = base.groupBy("project_id").agg(F.min("relative_path").alias("base"))
+    below = directories.select("project_id", "dir_id", "relative_path", F.explode(prefixes(F.col("relative_path"))).alias("base")).join(base, ["project_id", "base"])
+    rows = below.join(files.where("status = 'indexed'").select("file_id", "dir_id", "name", "summary"), "dir_id")
+    path = F.when(F.col("relative_path") == ".", F.col("name")).otherwise(F.concat_ws("/", "relative_path", "name"))
+    inner = F.when(F.col("base") == ".", path).otherwise(F.substring(path, F.length("base") + 2, F.length(path)))
+    return rows.select("file_id", inner.alias("path"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def with_files(directories: DataFrame, files: DataFrame) -> DataFrame:
+    """Directories with ``files``, a JSON list of the names and summaries of their indexed files; ``[]`` where there is none."""
+    one = F.struct("name", "summary")
+    rows = files.where("status = 'indexed'").groupBy("dir_id").agg(F.to_json(F.array_sort(F.collect_list(one)), {"ignoreNullFields": "false"}).alias("files"))
+    return directories.join(rows, "dir_id", "left").withColumn("files", F.coalesce("files", F.lit("[]")))
+
+
+def nest(rows: list, depth: int = 2, key: str = "dir_id", parent: str = "parent_dir_id") -> list[dict]:
+    """Directories (dictionaries) as nested ``subdirectories``, ``depth`` levels below the roots; for trees that are shown."""
+    below: dict = {}
+    known = {r[key] for r in rows}
+    for r in rows:
+        below.setdefault(r[parent] if r[parent] in known else None, []).append(r)
+
+    def node(r: dict, left: int) -> dict:
+        inner = sorted(below.get(r[key], []), key=lambda c: c["relative_path"]) if left > 0 else []
+        return r | {"subdirectories": [node(c, left - 1) for c in inner]}
+
+    return [node(r, max(0, int(depth))) for r in sorted(below.get(None, []), key=lambda c: c["relative_path"])]
+
+
 def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     """clue nodes(node_id, parent_id, pos, name, kind) with path (names) and order (positions) from the root."""
     w = lambda c: F.lpad(c.cast("string"), 8, "0")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import query_terms, snippet
+from corpusq.functions.text import display_locator, extension, lines_between, locator_range, query_terms, snippet, strip_page_markers
 from corpusq.operators import bm25, fusion, vectors
 
 
@@ -53,3 +53,38 @@ def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list
     out = best.join(files.select("file_key", "chunk_hits", "sources"), "file_key").join(chunks.select("chunk_id", "content"), "chunk_id")
     out = out.withColumn("snippet", snippet(F.col("content"), F.lit(keyword or query)))
     return out.select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content", "snippet").orderBy(*by_score())
+
+
+def hydrate(items: DataFrame, chunks: DataFrame, archives: DataFrame, files: DataFrame) -> DataFrame:
+    """items(file_id, chunk_id, ...) with path, the locator as it is shown, content without page markers, and the file's summary.
+
+    The content is the chunk's lines of the archived text: items' own line_start and line_end where they hold a range,
+    else those of the chunk, else what the locator names.  Line locators of converted documents are shown as the place
+    that the archive's mapping has for most of these lines.  Unknown files and chunks give empty texts.
+    """
+    own = lambda c, t: F.col(c) if c in items.columns else F.lit(None).cast(t)
+    ok = F.coalesce((own("line_start", "int") > 0) & (own("line_end", "int") >= own("line_start", "int")), F.lit(False))
+    rows = items.withColumns({"__s": F.when(ok, own("line_start", "int")), "__e": F.when(ok, own("line_end", "int")), "__l": own("locator", "string")}).drop("line_start", "line_end", "locator", "path", "content", "summary")
+    ranges = chunks.select("chunk_id", F.col("line_start").alias("__cs"), F.col("line_end").alias("__ce"), F.col("locator").alias("__cl"))
+    whole = (F.col("__cs") > 0) & (F.col("__ce") >= F.col("__cs"))
+    rows = rows.join(ranges, "chunk_id", "left").withColumns({"__s": F.coalesce("__s", F.when(whole, F.col("__cs"))), "__e": F.coalesce("__e", F.when(whole, F.col("__ce"))), "__l": F.coalesce("__l", "__cl", F.lit(""))})
+    rows = rows.join(files.select("file_id", "path"), "file_id", "left").join(archives.select("file_id", F.col("content_md").alias("__t"), F.col("mapping").alias("__m"), "summary"), "file_id", "left")
+    named = locator_range(F.trim("__l"))
+    by_range, by_name = lines_between(F.col("__t"), F.col("__s"), F.col("__e")), lines_between(F.col("__t"), named["first"], named["last"])
+    content = strip_page_markers(F.coalesce(F.nullif(by_range, F.lit("")), by_name, F.lit("")))
+    first, last = F.coalesce("__s", named["first"]), F.coalesce("__e", named["last"])
+    hits = F.transform("__m", lambda m, i: F.struct((F.least(m["end_line"], last) - F.greatest(m["start_line"], first) + 1).alias("n"), (-i).alias("i"), m["locator"].alias("locator")))
+    best = F.array_max(F.filter(hits, lambda x: x["n"] > 0))["locator"]
+    converted = extension(F.col("path")).isin("pdf", "doc", "docx", "xls", "xlsx") & named.isNotNull()
+    shown = F.when(converted, F.coalesce(display_locator(best, F.col("path")), F.col("__l"))).otherwise(display_locator(F.col("__l"), F.col("path")))
+    out = rows.withColumns({"content": content, "locator": F.coalesce(shown, "__l"), "path": F.coalesce("path", F.lit("")), "summary": F.coalesce("summary", F.lit(""))})
+    return out.drop("__s", "__e", "__l", "__cs", "__ce", "__cl", "__t", "__m")
+
+
+def file_snippets(hits: DataFrame, listed: DataFrame, keyword: str, chunks: DataFrame, archives: DataFrame, files: DataFrame, most: int = 3) -> DataFrame:
+    """(file_id, snippets): of every listed file the best ``most`` keyword hits(file_id, chunk_id, score) as (chunk_id, locator, text)."""
+    once = hits.groupBy("file_id", "chunk_id").agg(F.max("score").alias("score")).join(listed.select("file_id").distinct(), "file_id", "left_semi")
+    texts = hydrate(once, chunks, archives, files).withColumn("text", snippet(F.col("content"), F.lit(keyword))).where("text <> ''")
+    w = Window.partitionBy("file_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    top = texts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return top.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "chunk_id", "locator", "text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["locator"].alias("locator"), x["text"].alias("text"))).alias("snippets"))

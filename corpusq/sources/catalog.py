@@ -17,6 +17,7 @@ SCHEMAS = {
     "directories": "dir_id string, project_id string, relative_path string, parent_dir_id string, summary string, file_count bigint, chunk_count bigint",
     "projects": "project_id string, path string, alias string, summary string, valid boolean, last_updated timestamp",
     "clue_nodes": "clue_id string, node_id string, parent_id string, pos int, kind string, name string, summary string, organization string, time_format string, file_id string, seg_type string, anchor_start int, anchor_end int",
+    "clues": "clue_id string, project_id string, name string, description string, principle string, created_at timestamp, updated_at timestamp",
     "memory": "project_id string, path string, content string, size bigint",
 }
 
