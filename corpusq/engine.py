@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.config import resolve
 from corpusq.functions.text import LIBRARY_STOP_WORDS, STOP_WORDS, line_slice
+from corpusq.lineage import cut
 from corpusq.operators import bm25, changes, clues, lines, tree, vectors
 from corpusq.plans import indexing, retrieval
 from corpusq.sources.catalog import SCHEMAS, Catalog
@@ -48,10 +49,12 @@ class Engine:
         """Results as they are shown: path, locator, text and summary, up to three keyword snippets, and the clues that name the file."""
         k = top_k or self.settings["search"]["default_top_k"]
         chunks, archives, files = changes.compact(self.catalog.read("chunks")), self.catalog.read("archives"), self.catalog.read("files")
-        best = self.search(query, keyword, k, paths, profile).drop("content", "snippet")
+        # At most k rows, read three times below.
+        best = cut(self.search(query, keyword, k, paths, profile).drop("content", "snippet"))
         out = retrieval.hydrate(best, chunks, archives, files)
         if keyword and keyword.strip():
             hits = bm25.search(self.catalog.read("postings"), self.terms(keyword, profile), profile, self.scope(paths), 3 * k).select("chunk_id", "score").join(chunks.select("chunk_id", "file_id"), "chunk_id")
+            hits = cut(hits)
             out = out.join(retrieval.file_snippets(hits, best, keyword, chunks, archives, files), "file_id", "left")
         else:
             out = out.withColumn("snippets", F.lit(None).cast("array<struct<chunk_id:string,locator:string,text:string>>"))

@@ -194,7 +194,13 @@ def stream_dedup(spark, d):
     return _drain(spark, jobs.jobs(_events(spark, d), "user_id", "10000 days").select("user_id"), "append")
 
 
-@query("SELECT user_id, 'indexing' AS status FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'indexed' WHEN 1 THEN 'indexing' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, CASE event_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END::INT AS rejected FROM events")
 def stream_states(spark, d):
-    e = _events(spark, d).where("event_type is not null").select("user_id", "ts", F.lit("indexing").alias("status"))
-    return _drain(spark, jobs.states(e, "user_id"), "update").select("user_id", "status").distinct()
+    """Every event is a job that goes through three states, some of them out of order."""
+    moves = {0: ("pending", "indexing", "indexed"), 1: ("pending", "indexed", "indexing"), 2: ("pending", "indexing", "failed"), 3: ("pending", "indexed", "pending")}
+    step = lambda k: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("status")) for i, x in enumerate(moves[k])])
+    kind = F.col("event_id") % 4
+    steps = F.when(kind == 0, step(0)).when(kind == 1, step(1)).when(kind == 2, step(2)).otherwise(step(3))
+    e = _events(spark, d).select("event_id", "ts", F.explode(steps).alias("s"))
+    e = e.select("event_id", (F.col("ts") + F.make_dt_interval(secs=F.col("s.i"))).alias("ts"), F.col("s.status").alias("status"))
+    return _drain(spark, jobs.states(e, "event_id"), "update")

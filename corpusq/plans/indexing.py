@@ -70,19 +70,22 @@ def index(catalog: Catalog, root: str, project: str, converters: Converters | No
     before = catalog.read("files")
     archives = catalog.read("archives").select("file_id", F.lit(True).alias("archived"))
     state = changes.diff(now.select("file_id", "hash"), before.join(archives, "file_id", "left"), ["file_id"], archive="archived")
-    state = state.cache()
+    catalog.clear()
+    state = catalog.stage(state)
     work = state.where("action in ('added', 'modified')").select("file_id")
     gone = state.where("action in ('removed', 'modified')").select("file_id")
     if state.where("action <> 'unchanged'").isEmpty():
+        catalog.clear()
         return None
     todo = now.join(work, "file_id", "left_semi")
     texts = converters.convert(raw.join(todo.select("path"), "path", "left_semi")).join(todo, "path")
     dirs = tree.directories(now.select(F.lit(project).alias("project_id"), F.col("relative_path").alias("path")), catalog.read("directories"))
-    texts = texts.join(dirs.select("dir_id", F.col("relative_path").alias("dir")), "dir")
+    # Converted, embedded and split once: chunks, postings, archives and files are all made from these.
+    texts = catalog.stage(texts.join(dirs.select("dir_id", F.col("relative_path").alias("dir")), "dir"))
     ok = texts.where("error is null")
     pieces = chunking.chunk_files(ok.select("file_id", F.col("markdown").alias("content")), least, most)
     pieces = embed(pieces.join(ok.select("file_id", "dir_id", F.col("relative_path").alias("rel_path")), "file_id"), "content", provider)
-    pieces = pieces.withColumns({"indexed_at": F.current_timestamp(), "deleted_at": F.lit(None).cast("timestamp")})
+    pieces = catalog.stage(pieces).withColumns({"indexed_at": F.current_timestamp(), "deleted_at": F.lit(None).cast("timestamp")})
     keep = lambda name: catalog.read(name).join(gone, "file_id", "left_anti")
     chunks = keep("chunks").unionByName(pieces.select(*catalog.schema("chunks").names))
     words = P.build(pieces.select("file_id", "dir_id", "chunk_id", "locator", "content"), style)
@@ -99,7 +102,7 @@ def index(catalog: Catalog, root: str, project: str, converters: Converters | No
     folder = F.when(F.col("relative_path") == ".", F.lit(None)).when(F.col("relative_path").contains("/"), F.regexp_replace("relative_path", r"/[^/]*$", "")).otherwise(".")
     metas = dirs.withColumn("above", folder).join(up, "above", "left").join(counts, "relative_path", "left").withColumn("summary", F.lit(None).cast("string")).fillna(0, ["file_count", "chunk_count"])
     version = catalog.commit(chunks=chunks, postings=posts, archives=keep("archives").unionByName(store), files=files, directories=metas)
-    state.unpersist()
+    catalog.clear()
     return version
 
 

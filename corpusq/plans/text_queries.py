@@ -454,7 +454,9 @@ def json_props(spark, d):
     return read(spark, d, "events").where("event_type = 'error'").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
-@query("SELECT url, starts_with(url, 'http') AS ok FROM (SELECT DISTINCT url FROM pages) WHERE NOT regexp_matches(url, '^https?://(localhost|127|10\\.|192\\.168|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])\\.)')")
+@query("SELECT page_id, (page_id % 8 IN (0, 1, 7)) AS ok FROM pages")
 def safe_urls(spark, d):
-    p = read(spark, d, "pages").select("url").distinct()
-    return p.where(~X.private_host(F.col("url"))).select("url", F.lit(True).alias("ok"))
+    p = read(spark, d, "pages").select("page_id", (F.col("page_id") % 200).cast("string").alias("n"))
+    make = [("https://example.com/", ""), ("http://172.40.0.", "/x"), ("http://10.0.0.", "/x"), ("ftp://example.com/", ""), ("http://localhost:", "/"), ("https://192.168.1.", ":8080/x"), ("file:///tmp/", ""), ("https://8.8.8.", "/x")]
+    url = F.element_at(F.array(*[F.concat(F.lit(a), F.col("n"), F.lit(b)) for a, b in make]), (F.col("page_id") % 8).cast("int") + 1)
+    return p.select("page_id", (~X.private_host(url)).alias("ok"))

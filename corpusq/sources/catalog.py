@@ -64,6 +64,16 @@ class Catalog:
             raise ValueError(f"{name} has columns {sorted(df.columns)}")
         return df
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """The rows, computed once and kept below the catalog until ``clear``: for what several tables of a commit are made from."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.root}/staging"), True)
+
     def commit(self, **tables: DataFrame) -> str:
         """Write new versions of the tables and make them current together."""
         version = uuid.uuid4().hex

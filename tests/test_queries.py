@@ -10,7 +10,7 @@ from corpusq.plans import extra_queries, project_queries, search_queries, text_q
 
 DATA = "/root/testdata/sf0.001"
 MODULES = (search_queries, text_queries, extra_queries, project_queries, tool_queries)
-SAMPLE = ("postings_build", "bm25_scoped", "knn_postfilter_compat", "hybrid_search_local", "keyword_snippets", "heading_sections", "line_to_page_overlap", "clue_cascade_remove", "ingest_diff", "eval_metrics", "region_split", "stream_feed", "cells_bounds", "cell_types", "type_diff", "compression_plan", "connected_tables", "read_clue_leaf", "sentence_split", "knn_batch")
+SAMPLE = ("postings_build", "bm25_scoped", "knn_postfilter_compat", "hybrid_search_local", "keyword_snippets", "heading_sections", "line_to_page_overlap", "clue_cascade_remove", "ingest_diff", "eval_metrics", "region_split", "stream_feed", "cells_bounds", "cell_types", "type_diff", "compression_plan", "connected_tables", "read_clue_leaf", "sentence_split", "knn_batch", "page_locate", "safe_urls", "descendant_files", "scoped_files", "directory_files", "clue_references", "clue_removed", "hydrate_results", "result_snippets")
 
 
 def value(v):

@@ -44,6 +44,27 @@ def test_curated_trees_and_results(spark, tmp_path):
         clues.delete(e.catalog.read("clues"), e.catalog.read("clue_nodes"), clue, "cloud")
 
 
+class Counting:
+    def __init__(self, path: str):
+        self.path = path
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        with open(self.path, "a") as f:
+            f.writelines(f"{t!r}\n" for t in texts)
+        return [[1.0, float(len(t))] for t in texts]
+
+
+def test_a_text_is_embedded_once(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    for name in "ab":
+        (root / f"{name}.md").write_text("# Same\n\nthe same text\n")
+    e = Engine(spark, str(tmp_path / "cat"), provider=Counting(f"{tmp_path}/asked"))
+    assert e.index(str(root), "p") and e.catalog.read("chunks").where("size(content_vector) = 2").count() == 2
+    assert len((tmp_path / "asked").read_text().splitlines()) == 1
+    assert e.index(str(root), "p") is None and not (tmp_path / "cat" / "staging").exists()
+
+
 def test_tickets_are_used_once_and_expire(spark):
     t = spark.createDataFrame([], "ticket_id string, user_id string, tenant_id string, role string, expires_at timestamp")
     t, key = tickets.issue(t, "u", "t", "admin")
