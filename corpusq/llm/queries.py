@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import decontam, langid, licenses, lm, mix, quality, sequences, simhash, sketch, substring, tokens
+from corpusq.llm import decontam, kdtree, langid, licenses, lm, mix, quality, ranked, sequences, simhash, sketch, substring, tokens
 from corpusq.llm.common import table
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased, as DuckDB SQL.
@@ -74,6 +74,14 @@ def op11_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.report(table(spark, sf_dir, "documents"))
 
 
+def op12_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.report(table(spark, sf_dir, "embeddings"))
+
+
 def equal_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9 without its near passages: what SQL can express."""
     return substring.report(table(spark, sf_dir, "documents"), similarity=None)
@@ -97,5 +105,5 @@ l AS (SELECT r, min(least) AS first_doc_id FROM h GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, n_repeated, copies, first_doc_id, spans FROM d JOIN t USING (r) JOIN l USING (r) JOIN c USING (text)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_tokens": op7_tokens, "op8_lm": op8_lm, "op9_substring": op9_substring, "equal_passages": equal_passages, "op10_quality": op10_quality, "op11_binary": op11_binary}
-ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL, "equal_passages": EQUAL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_sketch": op4_sketch, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_tokens": op7_tokens, "op8_lm": op8_lm, "op9_substring": op9_substring, "equal_passages": equal_passages, "op10_quality": op10_quality, "op11_binary": op11_binary, "op12_tput": op12_tput, "op13_kdtree": op13_kdtree}
+ORACLE = {"op1_decontaminate": OP1, "op3_licenses": licenses.sql(), "op6_mix": mix.SQL, "op12_tput": ranked.SQL, "op13_kdtree": kdtree.SQL, "equal_passages": EQUAL}
