@@ -4,8 +4,8 @@
 documents in ascending doc_id order over shards of like size (a range shuffle on doc_id, then on the text's hash, then
 on the row, so that rows of one doc_id can be dealt to many shards) and saves them with the data source
 ``token_sequences``.  A shard is an Arrow stream file of record batches with two fixed-size-list columns, ``ids``
-(uint32) and ``mask`` (uint8, 1 where there is a token): the shard's tokens one after another, cut into sequences of
-``length`` ids; only a shard's last sequence is padded.  All batches but the last have ``rows`` sequences and so the same
+(uint16 where the vocabulary allows it, else uint32) and ``mask`` (bool, true where there is a token; a bit each): the
+shard's tokens one after another, cut into sequences of ``length`` ids; only a shard's last sequence is padded.  All batches but the last have ``rows`` sequences and so the same
 number of bytes, which is why batch k begins at head + k * step: ``Sequences`` maps a shard into memory and hands out any
 sequence and its mask without copying or reading what lies before.  Beside each shard a second stream file lists its
 documents (doc_id, start, n_tokens).  The manifest, written last by the commit, names the shards in order.
@@ -27,10 +27,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,10 +47,10 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END, LENGTH, ROWS = 2, 1024, 64
 #: Words that are remembered with their ids, and parts of words; the longest of them in bytes.
 MEMO, WORD = 1 << 19, 64
-#: Fixed value: the pattern by which vocabularies of this kind split words; for printable ASCII in lower case, the same.
+#: Fixed value: the pattern by which vocabularies of this kind split words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-PRINTABLE = re.compile(rb"[\x21-\x7E]+")
+#: Latin letters end here; none before combines with another.
+SIMPLE = 0x250
 #: A text is cut into words in pieces of about so many bytes.
 PIECE = 1 << 20
 #: Bytes of ids in a batch that is read back.
@@ -79,49 +79,65 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Memo(dict):
+    """Remembers what a function gives for short keys, up to a number of them; then begins anew."""
+
+    def __init__(self, of) -> None:
+        self.of = of
+
+    def __missing__(self, key):
+        got = self.of(key)
+        if len(key) <= WORD:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = got
+        return got
+
+
+def simple(own) -> tuple[dict, dict, re.Pattern, re.Pattern]:
+    """For code points below ``SIMPLE`` that the library normalizes one by one into one: what it makes of them, their
+    bytes in its spelling, a pattern for words of them and the pattern that splits such words."""
+    low, spelt, classes = {}, {}, {"L": "", "N": "", "": ""}
+    for c in map(chr, range(0x21, SIMPLE)):
+        n = own.normalizer.normalize_str(c)
+        if len(n) == 1 and not n.isspace() and unicodedata.category(n)[0] not in "CM" and ord(n) < SIMPLE:
+            low[ord(c)] = n
+            spelt[ord(n)] = "".join(x for x, _ in own.pre_tokenizer.pre_tokenize_str(n))
+            kind = unicodedata.category(n)[0]
+            classes[kind if kind in "LN" else ""] += re.escape(n)
+    split = rf"'s|'t|'re|'ve|'m|'ll|'d|[{classes['L']}]+|[{classes['N']}]|[{classes['']}]+"
+    return low, spelt, re.compile("[" + "".join(re.escape(chr(c)) for c in low) + "]+"), re.compile(split)
+
+
 @lru_cache(1)
 def encoder(vocabulary: str):
-    """A function from text to its ids; vocabulary is the JSON of a tokenizer that drops white space.
+    """A function from a text's bytes to its ids' bytes; vocabulary is the JSON of a tokenizer that drops white space.
 
-    Words are normalized, split and encoded by the library's own parts.  Words of printable ASCII are lower-cased and
-    split here if the vocabulary has the usual steps, as calls of the library cost more than its merges do.
+    Words are normalized, split and encoded by the library's own parts.  Words of simple characters go through tables
+    that the library fills, if the vocabulary has the usual steps: calls of the library cost more than its merges do.
     """
     from tokenizers import Tokenizer
 
     own, given = Tokenizer.from_str(vocabulary), json.loads(vocabulary)
     special = re.compile(b"|".join(re.escape(x["content"].encode("utf-8")) for x in given["added_tokens"]) or rb"(?!)")
-    plain = [x["type"] for x in given["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["pattern"]["Regex"] for x in given["pre_tokenizer"]["pretokenizers"] if "pattern" in x] == [PATTERN]
-    model, normalizer, splitter, words, parts = own.model, own.normalizer, own.pre_tokenizer, {}, {}
+    usual = [x["type"] for x in given["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["pattern"]["Regex"] for x in given["pre_tokenizer"]["pretokenizers"] if "pattern" in x] == [PATTERN]
+    model, normalizer, splitter = own.model, own.normalizer, own.pre_tokenizer
     model._resize_cache(0)
-
-    def part(p: str) -> bytes:
-        got = parts.get(p)
-        if got is None:
-            got = packed([t.id for t in model.tokenize(p)])
-            if len(p) <= WORD:
-                if len(parts) >= MEMO:
-                    parts.clear()
-                parts[p] = got
-        return got
+    low, spelt, plain, split = simple(own) if usual else ({}, {}, re.compile("(?!)"), None)
+    parts = Memo(lambda p: packed([t.id for t in model.tokenize(p)]))
 
     def word(w: bytes) -> bytes:
+        t = w.decode("utf-8")
         if special.search(w):
-            got = packed(own.encode(w.decode("utf-8"), add_special_tokens=False).ids)
-        elif plain and PRINTABLE.fullmatch(w):
-            got = b"".join(map(part, ASCII_PATTERN.findall(w.decode("ascii").lower())))
-        else:
-            got = b"".join(part(p) for p, _ in splitter.pre_tokenize_str(normalizer.normalize_str(w.decode("utf-8"))))
-        if len(w) <= WORD:
-            if len(words) >= MEMO:
-                words.clear()
-            words[w] = got
-        return got
+            return packed(own.encode(t, add_special_tokens=False).ids)
+        if plain.fullmatch(t):
+            return b"".join([parts[p.translate(spelt)] for p in split.findall(t.translate(low))])
+        return b"".join([parts[p] for p, _ in splitter.pre_tokenize_str(normalizer.normalize_str(t))])
+
+    words = Memo(word)
 
-    def encode(text: str | None) -> bytes:
-        out = io.BytesIO()
-        for raw in pieces((text or "").encode("utf-8")):
-            out.write(b"".join([words.get(w) or word(w) for w in raw.split()]))
-        return out.getvalue()
+    def encode(text: bytes) -> bytes:
+        return b"".join([b"".join(map(words.__getitem__, raw.split())) for raw in pieces(text)])
 
     return encode
 
@@ -132,7 +148,7 @@ def _encode(sent, end: int):
 
         encode, last = encoder(sent.value), np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = [encode(t.as_py()) + last for t in batch.column("text")]
+            ids = [encode(t or b"") + last for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -153,7 +169,14 @@ def write(documents: DataFrame, folder: str, path: str = VOCABULARY, end: int =
     dealt = docs.repartitionByRange(shards, *order) if shards else docs.repartitionByRange(*order)
     ids = encode(dealt.sortWithinPartitions(*order), path, end)
     register(documents.sparkSession)
-    ids.write.format(NAME).mode("append").option("length", length).option("rows", rows).save(folder)
+    ids.write.format(NAME).mode("append").option("length", length).option("rows", rows).option("bits", bits(path, end)).save(folder)
+
+
+def bits(path: str, end: int) -> int:
+    """Bits that every id of a vocabulary and the end id fit in."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    return 16 if max(end, *given["model"]["vocab"].values(), *(x["id"] for x in given["added_tokens"])) < 1 << 16 else 32
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,7 +185,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """(sequence, ids, mask) of every saved sequence, numbered over all shards."""
+    """(sequence, ids, mask) of every saved sequence, numbered over all shards; ids as in ``encode``, mask a byte each."""
     return register(spark).read.format(NAME).option("view", "sequences").load(folder)
 
 
@@ -203,15 +226,15 @@ class Message(WriterCommitMessage):
 class Shard:
     """Writes one shard: sequences as tokens come, documents as they end."""
 
-    def __init__(self, files, base: str, name: str, length: int, rows: int) -> None:
+    def __init__(self, files, base: str, name: str, length: int, rows: int, bits_: int) -> None:
         import pyarrow as pa
 
         self.pa, self.length, self.rows, self.name = pa, length, rows, name
         self.sink, self.sink_docs = files.open_output_stream(f"{base}/{name}.arrow"), files.open_output_stream(f"{base}/{name}.docs.arrow")
-        schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("ids", pa.list_(pa.uint16() if bits_ == 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_stream(self.sink, schema)
         self.out_docs = pa.ipc.new_stream(self.sink_docs, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-        self.block, self.filled = np.zeros(length * rows, np.uint32), 0
+        self.block, self.filled = np.zeros(length * rows, np.uint16 if bits_ == 16 else np.uint32), 0
         self.head, self.step, self.batches, self.tokens, self.documents, self.sequences = schema.serialize().size, 0, 0, 0, 0, 0
         self.listed: list[tuple] = []
 
@@ -230,8 +253,8 @@ class Shard:
 
     def _flush(self) -> None:
         pa, n = self.pa, -(-self.filled // self.length)
-        mask = np.ones(n * self.length, np.uint8)
-        mask[self.filled :] = 0
+        mask = np.ones(n * self.length, bool)
+        mask[self.filled :] = False
         self.block[self.filled :] = 0
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.block[: n * self.length], mask)]
         if self.batches and self.sink.tell() != self.head + self.batches * self.step:
@@ -256,8 +279,8 @@ class Shard:
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str, length: int, rows: int) -> None:
-        self.folder, self.length, self.rows = folder, length, rows
+    def __init__(self, folder: str, length: int, rows: int, bits_: int) -> None:
+        self.folder, self.length, self.rows, self.bits = folder, length, rows, bits_
 
     def write(self, iterator: Iterator) -> Message:
         files, base = place(self.folder)
@@ -266,7 +289,7 @@ class Writer(DataSourceArrowWriter):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if shard is None:
                     files.create_dir(base, recursive=True)
-                    shard = Shard(files, base, f"part-{order:06d}-{uuid.uuid4().hex}", self.length, self.rows)
+                    shard = Shard(files, base, f"part-{order:06d}-{uuid.uuid4().hex}", self.length, self.rows, self.bits)
                 shard.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
         return Message(order, shard and shard.close())
 
@@ -307,17 +330,19 @@ class Blocks:
         self.size = self.file.size()
         self.schema = pa.ipc.read_schema(self.file.read_buffer(shard["head"]))
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of batch k, one row a sequence; views of the mapped file."""
+    def __getitem__(self, k: int):
+        """ids of batch k as a numpy array with a row a sequence, and mask as an Arrow array of all its bits; views of the mapped file."""
         at = self.shard["head"] + k * self.shard["step"]
         self.file.seek(at)
         part = self.file.read_buffer(min(self.shard["step"], self.size - at))
         batch = self.pa.ipc.read_record_batch(self.pa.ipc.read_message(part), self.schema)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(batch.num_rows, -1) for c in batch.columns)
+        ids, mask = (c.flatten() for c in batch.columns)
+        return ids.to_numpy(zero_copy_only=True).reshape(batch.num_rows, -1), mask
 
 
 class Sequences:
-    """Random access to all sequences of a folder: ``len(s)`` and ``ids, mask = s[i]``, zero-copy over a local mount."""
+    """Random access to all sequences of a folder, zero-copy over a local mount: ``len(s)``, and ``ids, mask = s[i]`` with ids
+    as a numpy array and mask as an Arrow array of bits."""
 
     def __init__(self, folder: str) -> None:
         self.folder, m = folder, manifest(folder)
@@ -328,7 +353,7 @@ class Sequences:
     def __len__(self) -> int:
         return int(self.first[-1])
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int):
         if not 0 <= i < len(self):
             raise IndexError(i)
         s = int(np.searchsorted(self.first, i, "right")) - 1
@@ -336,7 +361,7 @@ class Sequences:
             self.blocks[s] = Blocks(self.folder, self.shards[s])
         k, row = divmod(i - int(self.first[s]), self.rows)
         ids, mask = self.blocks[s][k]
-        return ids[row], mask[row]
+        return ids[row], mask.slice(row * self.length, self.length)
 
 
 class Part(InputPartition):
@@ -368,7 +393,8 @@ class Reader(DataSourceReader):
         for k in range(-(-p.shard["sequences"] // m["rows"])):
             ids, mask = blocks[k]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in mask], pa.binary())], ["sequence", "ids", "mask"])
+            masks = mask.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(n, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int64()), pa.array([x.tobytes() for x in ids.astype("<u4")], pa.binary()), pa.array([x.tobytes() for x in masks], pa.binary())], ["sequence", "ids", "mask"])
             at += n
 
     def _documents(self, p: Part) -> Iterator:
@@ -379,15 +405,15 @@ class Reader(DataSourceReader):
 
         def cut(start: int, n: int) -> bytes:
             nonlocal at, flat
-            out = io.BytesIO()
+            out = []
             while n:
                 k, low = divmod(start, per)
                 if k != at:
                     at, flat = k, blocks[k][0].reshape(-1)
-                part = flat[low : low + n]
-                out.write(part.tobytes())
+                part = flat[low : low + n].astype("<u4")
+                out.append(part.tobytes())
                 start, n = start + len(part), n - len(part)
-            return out.getvalue()
+            return b"".join(out)
 
         files, base = place(self.folder)
         with files.open_input_stream(f"{base}/{p.shard['name']}.docs.arrow") as f, pa.ipc.open_stream(f) as listed:
@@ -420,4 +446,4 @@ class TokenSequences(DataSource):
         return Reader(self.options["path"], self._view())
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], int(self.options.get("length", LENGTH)), int(self.options.get("rows", ROWS)))
+        return Writer(self.options["path"], int(self.options.get("length", LENGTH)), int(self.options.get("rows", ROWS)), int(self.options.get("bits", 32)))
