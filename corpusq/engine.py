@@ -110,10 +110,13 @@ class Engine:
         self._clue_commit(clue_id, tree.update(own, at["node_id"], **values))
 
     def clue_remove(self, clue_id: str, path: str) -> None:
-        own = tree.paths(clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1])
-        if not path.strip("/ ") or tree.find(own, path).isEmpty():
+        """Without the node at a path of names and all below it; every other row of the catalog stays as it is."""
+        own = clues.get(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)[1]
+        found = tree.paths(own)
+        at = "/".join(x.strip() for x in path.split("/") if x.strip())
+        if not at or tree.find(found, at).isEmpty():
             raise ValueError(f"there is no node below the root at {path!r}")
-        self._clue_commit(clue_id, tree.remove(own, "/".join(x.strip() for x in path.split("/") if x.strip())))
+        self._clue_commit(clue_id, own.join(tree.subtree(found, at).select("node_id"), "node_id", "left_anti"))
 
     def clue_delete(self, clue_id: str) -> None:
         both = clues.delete(self.catalog.read("clues"), self.catalog.read("clue_nodes"), clue_id)

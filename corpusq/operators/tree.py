@@ -109,18 +109,26 @@ def nest(rows: list, depth: int = 2, key: str = "dir_id", parent: str = "parent_
     return [node(r, max(0, int(depth))) for r in sorted(below.get(None, []), key=lambda c: c["relative_path"])]
 
 
-def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """clue nodes(node_id, parent_id, pos, name, kind) with path (names) and order (positions) from the root."""
+def paths(nodes: DataFrame) -> DataFrame:
+    """clue nodes(node_id, parent_id, pos, name, kind) with path (names) and order (positions) from the root.
+
+    Every node doubles the way up that it knows with each join, so a tree of n levels takes about log2(n) joins and no
+    level is left out.  Nodes that hang from no root, or from each other in a circle, have no path and are left out.
+    """
     w = lambda c: F.lpad(c.cast("string"), 8, "0")
-    level = cut(nodes.where("parent_id is null").select("*", F.lit("").alias("path"), w(F.col("pos")).alias("order")))
-    out = level
-    for _ in range(most):
-        up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("__p"), F.col("order").alias("__o"))
-        level = cut(nodes.join(up, "parent_id").select(*nodes.columns, F.concat(F.col("__p"), F.when(F.col("__p") == "", "").otherwise("/"), F.trim("name")).alias("path"), F.concat_ws("/", "__o", w(F.col("pos"))).alias("order")))
-        if level.isEmpty():
+    none = F.array().cast("array<string>")
+    names = F.when(F.col("parent_id").isNull(), none).otherwise(F.array(F.trim("name")))
+    known = cut(nodes.select(F.col("node_id").alias("id"), F.col("parent_id").alias("up"), names.alias("names"), F.array(w(F.col("pos"))).alias("places")))
+    left = known.where("up is not null").count()
+    while left:
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("__u"), F.col("names").alias("__n"), F.col("places").alias("__p"))
+        longer = known.where("up is not null").join(above, "up").select("id", F.col("__u").alias("up"), F.concat("__n", "names").alias("names"), F.concat("__p", "places").alias("places"))
+        known = cut(known.where("up is null").unionByName(longer))
+        before, left = left, known.where("up is not null").count()
+        if left == before:
             break
-        out = out.unionByName(level)
-    return out
+    whole = known.where("up is null").select(F.col("id").alias("node_id"), F.array_join("names", "/").alias("path"), F.array_join("places", "/").alias("order"))
+    return nodes.join(whole, "node_id").select(*nodes.columns, "path", "order")
 
 
 def find(nodes: DataFrame, path: str) -> DataFrame:
