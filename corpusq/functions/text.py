@@ -20,11 +20,14 @@ LIBRARY_STOP_WORDS = [*STOP_WORDS, "我", "有", "人"]
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def tokens(text: Column, style: str = "index") -> Column:
+def tokens(text: Column, style="index") -> Column:
     """Tokens in order: ``index`` and ``library`` drop single ASCII letters or digits and stop words, ``cloud`` drops nothing.
 
-    Words are runs of letters and digits; ``cjk`` is ``index`` with runs of ideographs cut into pairs.
+    Words are runs of letters and digits; ``cjk`` is ``index`` with runs of ideographs cut into pairs.  A style may also
+    be an object with a method ``tokens``, such as a ``segmentation.Segmenter``.
     """
+    if not isinstance(style, str):
+        return style.tokens(text)
     low = F.lower(F.coalesce(text, F.lit("")))
     if style == "cloud":
         return F.filter(F.split(low, r"\s+"), lambda t: t != "")
@@ -217,3 +220,9 @@ def query_terms(query: str) -> list[str]:
     text = re.sub(r"[（(][^）)]*[）)]", " ", query)
     found = [t for t in re.split(r"[\s,，。;；:：、!！?？\"'“”‘’/|]+", text) if len(t) >= 2]
     return list(dict.fromkeys(found))
+
+
+def query_terms_of(query: Column) -> Column:
+    """``query_terms`` as a column."""
+    text = F.regexp_replace(query, r"[（(][^）)]*[）)]", " ")
+    return F.array_distinct(F.filter(F.split(text, "[\\s,，。;；:：、!！?？\"'“”‘’/|]+"), lambda t: F.length(t) >= 2))

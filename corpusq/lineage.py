@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and read from the checkpoint folder from now on.
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names.  A session within one JVM gets a temporary one where none
-    is named; on a cluster that is an error, as executors don't see each other's local folders.
+    A session within one JVM gets a temporary one where none is named; on a cluster that is an error, as executors don't
+    see each other's local folders.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc._jsc.sc().isLocal():
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the checkpoint folder from now on."""
+    folder(df.sparkSession)
     return df.checkpoint()

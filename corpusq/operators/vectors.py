@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def clean(vector: Column) -> Column:
@@ -70,6 +71,7 @@ def knn_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     asked = queries.select("query_id", "vector").toLocalIterator()
     sc = rows.sparkSession.sparkContext
     found, held = None, []
+    kinds = [to_arrow_type(t) for t in (queries.schema["query_id"].dataType, rows.schema[key].dataType)]
 
     def run_block(part: list) -> DataFrame:
         ids = np.array([r.query_id for r in part])
@@ -102,7 +104,7 @@ def knn_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
                     s = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s, 0)))
                 n = min(k, s.shape[1])
                 order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), kinds[0]), pa.array(keys[order].ravel(), kinds[1]), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", key, "score"])
 
         return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double")
 

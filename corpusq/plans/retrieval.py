@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import display_locator, extension, lines_between, locator_range, query_terms, snippet, strip_page_markers
-from corpusq.operators import bm25, fusion, vectors
+from corpusq.functions.text import display_locator, extension, lines_between, locator_range, query_terms, query_terms_of, snippet, strip_page_markers
+from corpusq.lineage import cut
+from corpusq.operators import bm25, evaluation, fusion, vectors
 
 
 def by_score() -> tuple:
@@ -41,8 +42,7 @@ def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list
         if status is not None:
             out = out.join(status.where(F.col("status") == "indexed").select("file_id"), "file_id", "left_semi")
         return out.select("file_id", "chunk_id", "score", "sources", "content").orderBy(*by_score())
-    order = F.row_number().over(fusion.Window.orderBy(F.round("score", 9).desc(), F.col("tie")))
-    items = fused.withColumn("ord", order).join(chunks.select("chunk_id", F.col("file_id").alias("file_key")), "chunk_id")
+    items = fused.withColumn("ord", fusion.place(F.col("score"), F.col("tie"))).join(chunks.select("chunk_id", F.col("file_id").alias("file_key")), "chunk_id")
     files = fusion.group_by_file(items, top_k=top_k)
     if not (reselect and profile == "local"):
         return files.join(chunks.select("chunk_id", "content"), "chunk_id").select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content").orderBy(*by_score())
@@ -55,6 +55,45 @@ def search(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, vector: list
     return out.select(F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources", "content", "snippet").orderBy(*by_score())
 
 
+def search_many(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, queries: DataFrame, top_k: int = 10, method: str = "hybrid", reselect: bool = True) -> DataFrame:
+    """(query_id, rank, file_id, chunk_id, score, chunk_hits, sources): the best files of every query, in one plan.
+
+    queries(query_id, text, terms, vector), postings of the ``local`` profile, vecs(chunk_id, embedding).  As ``search`` with
+    the ``local`` profile: three times top_k rows a list, fused, grouped by file, the representative chosen anew by bonus.
+    ``method`` keeps both lists (``hybrid``) or one (``vector``, ``keyword``).  Everything is keyed by query_id.
+    """
+    by, parts = ("query_id",), []
+    if method in ("hybrid", "vector"):
+        near = vectors.knn_many(vecs, queries.select("query_id", "vector"), 3 * top_k, key="chunk_id")
+        parts.append(near.select("query_id", F.col("chunk_id").alias("id"), F.lit(0).alias("list_idx"), F.lit("vector").alias("list_name"), "rank"))
+    if method in ("hybrid", "keyword"):
+        words = bm25.search_many(postings, queries.select("query_id", F.explode("terms").alias("term")), 3 * top_k)
+        parts.append(words.select("query_id", F.col("chunk_id").alias("id"), F.lit(1).alias("list_idx"), F.lit("keyword").alias("list_name"), "rank"))
+    if not parts:
+        raise ValueError("method must be hybrid, vector or keyword")
+    fused = fusion.rrf(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), by=by).withColumnRenamed("id", "chunk_id")
+    # At most 6 * top_k rows a query from here on.
+    items = cut(fused.join(chunks.select("chunk_id", F.col("file_id").alias("file_key"), "content"), "chunk_id").withColumn("ord", fusion.place(F.col("score"), F.col("tie"))))
+    files = fusion.group_by_file(items, top_k=top_k, by=by)
+    out = files.select("query_id", "file_key", "chunk_id", "score", "chunk_hits", "sources")
+    if reselect:
+        asked = files.join(queries.select("query_id", F.array("text").alias("phrases"), query_terms_of(F.col("text")).alias("qt")), "query_id")
+        texts = items.select("query_id", "chunk_id", "content", "score", F.lit(False).alias("has_snippet"))
+        out = fusion.reselect(asked, texts, F.col("phrases"), F.col("qt"), by).join(files.select("query_id", "file_key", "chunk_hits", "sources"), ["query_id", "file_key"])
+    order = Window.partitionBy("query_id").orderBy(*by_score())
+    return out.select("query_id", F.row_number().over(order).alias("rank"), F.col("file_key").alias("file_id"), "chunk_id", "score", "chunk_hits", "sources")
+
+
+def compare(chunks: DataFrame, postings: DataFrame, vecs: DataFrame, queries: DataFrame, expected: DataFrame, top_k: int = 10, methods: tuple[str, ...] = ("vector", "keyword", "hybrid")) -> DataFrame:
+    """(method, queries, precision_at_k, precision_returned, recall_at_k, mrr) over expected(query_id, id) files."""
+    rows = None
+    for m in methods:
+        hits = search_many(chunks, postings, vecs, queries, top_k, m).select("query_id", F.col("file_id").alias("id"), "rank")
+        one = evaluation.means(evaluation.per_query(hits, expected, top_k)).select(F.lit(m).alias("method"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def hydrate(items: DataFrame, chunks: DataFrame, archives: DataFrame, files: DataFrame) -> DataFrame:
     """items(file_id, chunk_id, ...) with path, the locator as it is shown, content without page markers, and the file's summary.
 

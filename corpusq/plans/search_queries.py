@@ -283,8 +283,7 @@ GROUPED = """g AS (SELECT file_id, sum(score) AS total, max(score) AS rep, first
 
 def _items(spark, d):
     hits = bm25.search(P.build(conversations_as_chunks(spark, d)), TERMS)
-    order = F.row_number().over(fusion.Window.orderBy(F.round("score", 9).desc(), "chunk_id"))
-    return hits.select("chunk_id", F.col("file_id").alias("file_key"), "score", order.alias("ord"), F.array(F.lit("keyword")).alias("sources"))
+    return hits.select("chunk_id", F.col("file_id").alias("file_key"), "score", fusion.place(F.col("score"), F.col("chunk_id")).alias("ord"), F.array(F.lit("keyword")).alias("sources"))
 
 
 @query(f"WITH {CONV_ITEMS}, {GROUPED} SELECT file_id AS file_key, chunk_id, round(rep + greatest(0, total - rep) * 0.35::DOUBLE, 6) AS score, chunk_hits, chunk_ids FROM g ORDER BY round(rep + greatest(0, total - rep) * 0.35::DOUBLE, 9) DESC, ord LIMIT 25")
