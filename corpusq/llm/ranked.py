@@ -9,11 +9,12 @@ has; lengths and N cover all documents.  ``lists`` turns them into postings (ter
 by term, falling score and document writes impact-ordered lists, of which a hot one spans as many partitions as it needs.
 ``search`` is TPUT, three rounds for all queries together:
 
-1. heads: the k highest of every list give each query partial sums; the k-th highest of these, s1, bounds its k-th score
-   from below (0 while fewer than k documents are seen);
-2. a uniform threshold T = s1 div m for the query's m lists: every posting of T or more is fetched.  A document in none of
-   them has less than s1.  The partial sums raise the bound to s2, and documents stay whose sum and T - 1 for each list in
-   which they were not seen reach s2;
+1. heads: the k highest of every list give each query documents to look up; the k-th highest of their scores, s1, bounds
+   the query's k-th score from below (0 while fewer than k documents are seen);
+2. a threshold for the query's lists.  As many lists as have heads that together stay below s1 are left unread; what is left
+   of s1 is the uniform threshold of all others, shared by their number, and every posting of theirs above it is fetched.  A
+   document without one has less than s1.  The sums may raise the bound to s2, and documents stay whose sum, with the
+   threshold or the head for each list in which they were not seen, reaches s2;
 3. their exact scores are looked up by document.
 
 Nothing is cut without this bound, so results are exact.  Queries without any term give no rows; k-th places are found by
@@ -41,6 +42,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 10
 #: Most terms, and bytes of terms, that are sent to all tasks.
 TERMS, BYTES = 1 << 20, 1 << 24
+#: Most terms, summed over the queries, that are sent to all tasks for the last round.
+PAIRS = 1 << 18
 #: Bytes of a text that are counted at once.
 PIECE = 1 << 20
 #: A-Z to a-z, and a space for each byte that no term has.
@@ -140,29 +143,111 @@ def bound(sums: DataFrame, k: int) -> DataFrame:
     return top.groupBy("query").agg(F.when(F.count("*") == k, F.min("sum")).otherwise(0).alias("least"))
 
 
-def rounds(postings: DataFrame, wanted: DataFrame, weights_: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(query, item_id, term, w) of the lists; (query, uid, sum, n) of what the threshold fetches; (query, uid) of what may be best."""
+def lookup(docs: DataFrame, pairs: DataFrame, want: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(query, uid, doc_id, score) of pairs(query, uid): whole scores."""
+    rows = docs.join(pairs, "uid").select("query", "uid", "doc_id", "n", F.explode("terms").alias("t")).select("query", "uid", "doc_id", "n", "t.term", "t.tf")
+    return scored(rows.join(want.select("query", "term", "w"), ["query", "term"]), size).groupBy("query", "uid", "doc_id").agg(F.sum("score").alias("score"))
+
+
+def _best(sent, k: int):
+    """For rows (uid, doc_id, n, terms, queries): the k best scores of each query in a batch."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        numbers, index, (count, length) = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists_, asked = batch.column("terms"), batch.column("queries")
+            pairs = lists_.flatten()
+            terms, tf = pairs.field(0).to_pylist(), pairs.field(1).to_numpy()
+            at, of = np.concatenate([[0], np.cumsum(lists_.value_lengths())]), np.concatenate([[0], np.cumsum(asked.value_lengths())])
+            wanted = np.searchsorted(numbers, asked.flatten().to_numpy())
+            score = np.zeros(len(wanted), np.int64)
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                known = [(j, *index[t]) for j, t in enumerate(terms[at[i] : at[i + 1]], int(at[i])) if t in index]
+                if known:
+                    places, w, queries = zip(*known)
+                    f = tf[list(places)]
+                    part = np.array(w) * (10**9 * f // (1000 * f + 8 * (10 + 90 * n * count // length)))
+                    # Whole numbers below 2^53, so sums in floating point are exact.
+                    sums = np.bincount(np.concatenate(queries), np.repeat(part, [len(q) for q in queries]), len(numbers))
+                    score[of[i] : of[i + 1]] = sums[wanted[of[i] : of[i + 1]]]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(of))
+            ids = batch.column("doc_id")
+            none, value = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            order = np.lexsort((batch.column("uid").to_numpy()[row], value[row], none[row], -score, wanted))
+            order = order[score[order] > 0]
+            first = np.searchsorted(wanted[order], wanted[order])
+            order = order[np.arange(len(order)) - first < k]
+            take = pa.array(row[order])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[wanted[order]]), batch.column("uid").take(take), ids.take(take), pa.array(score[order])], ["query", "uid", "doc_id", "score"])
+
+    return run
+
+
+def best(docs: DataFrame, found: DataFrame, want: DataFrame, size: tuple[int, int], k: int, most: int = PAIRS) -> DataFrame:
+    """(query, uid, doc_id, score, rank): each query's k best of found(query, uid), by their whole scores.
+
+    With at most ``most`` terms of queries, these are sent to the tasks, which score a document for all queries that found it
+    and pass on k rows a query and batch; beyond, terms are joined.
+    """
+    rows = want.select("query", "term", "w").limit(most + 1).collect()
+    if len(rows) > most:
+        scores = lookup(docs, found, want, size).where("score > 0")
+    elif not rows:
+        scores = lookup(docs, found, want, size)
+    else:
+        import numpy as np
+
+        numbers = np.array(sorted({r["query"] for r in rows}), np.int64)
+        place, index = {q: i for i, q in enumerate(numbers.tolist())}, {}
+        for r in rows:
+            index.setdefault(r.term, (r.w, []))[1].append(place[r["query"]])
+        sent = docs.sparkSession.sparkContext.broadcast((numbers, {t: (w, np.array(q)) for t, (w, q) in index.items()}, size))
+        asked = docs.join(found.groupBy("uid").agg(F.collect_list("query").alias("queries")), "uid")
+        scores = asked.select("uid", "doc_id", "n", "terms", "queries").mapInArrow(_best(sent, k), "query bigint, uid bigint, doc_id bigint, score bigint")
+    return highest(scores, k, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("uid"))
+
+
+def level(want: DataFrame, tops: DataFrame, first: DataFrame) -> DataFrame:
+    """(query, term, least, top, level, low): the threshold of each list, level + 1, and the most that it adds to a document unseen.
+
+    As many lists as possible, from the lowest head on, stay unread, their heads being less than ``least`` together; the
+    others share what is left of it as their common level.
+    """
+    lists_ = want.join(tops, "term").join(first, "query", "left").select("query", "term", "top", F.coalesce("least", F.lit(0)).alias("least"))
+    w, whole = Window.partitionBy("query").orderBy("top", "term"), Window.partitionBy("query")
+    rows = lists_.withColumn("under", F.sum("top").over(w)).withColumn("unread", F.col("under") < F.col("least"))
+    rows = rows.withColumns({"spent": F.coalesce(F.max(F.when(F.col("unread"), F.col("under"))).over(whole), F.lit(0)), "read": F.count_if(~F.col("unread")).over(whole)})
+    rows = rows.withColumn("level", F.when(F.col("unread"), F.col("top")).otherwise(F.expr("greatest(0, least - 1 - spent) div read")))
+    return rows.select("query", "term", "least", "top", "level", F.least("level", "top").alias("low"))
+
+
+def rounds(postings: DataFrame, docs: DataFrame, wanted: DataFrame, weights_: DataFrame, size: tuple[int, int], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query, item_id, term, w) of the lists; (query, uid, sum, low) of what the threshold fetches; (query, uid) of what may be best."""
     want = cut(wanted.join(weights_.where("w > 0"), "term"))
     head = postings.withColumn("at", F.row_number().over(Window.partitionBy("term").orderBy(F.col("score").desc(), "uid"))).where(F.col("at") <= k)
-    first = bound(want.select("query", "term").join(head, "term").groupBy("query", "uid").agg(F.sum("score").alias("sum")), k)
-    m = want.groupBy("query").agg(F.count("*").alias("m"))
-    limits = cut(m.join(first, "query", "left").withColumn("t", F.expr("coalesce(least, 0) div m")).select("query", "m", "t"))
-    asked = want.join(limits, "query").select("query", "term", "t")
-    seen = cut(postings.join(asked, "term").where("score >= t").groupBy("query", "uid").agg(F.sum("score").alias("sum"), F.count("*").alias("n")))
-    rest = (F.col("m") - F.col("n")) * F.greatest(F.col("t") - 1, F.lit(0))
-    found = cut(seen.join(limits, "query").join(bound(seen, k), "query").where(F.col("sum") + rest >= F.col("least")).select("query", "uid"))
-    drop(limits)
+    head = cut(head.select("term", "uid", "score"))
+    pairs = want.select("query", "term").join(head, "term").select("query", "uid").distinct()
+    first = bound(lookup(docs, pairs, want, size).withColumnRenamed("score", "sum"), k)
+    limits = cut(level(want.select("query", "term"), head.groupBy("term").agg(F.max("score").alias("top")), first))
+    fetched = postings.join(limits.select("query", "term", "level", "low"), "term").where("score > level")
+    seen = cut(fetched.groupBy("query", "uid").agg(F.sum("score").alias("sum"), F.sum("low").alias("low")))
+    sums = limits.groupBy("query").agg(F.sum("low").alias("lows"), F.first("least").alias("least")).join(bound(seen, k).withColumnRenamed("least", "more"), "query", "left")
+    sums = sums.select("query", "lows", F.greatest("least", "more").alias("least"))
+    found = cut(seen.join(sums, "query").where(F.col("sum") + F.col("lows") - F.col("low") >= F.col("least")).select("query", "uid"))
+    drop(head, limits)
     return want, seen, found
 
 
-def search(postings: DataFrame, docs: DataFrame, wanted: DataFrame, weights_: DataFrame, size: tuple[int, int], k: int = K) -> DataFrame:
+def search(postings: DataFrame, docs: DataFrame, wanted: DataFrame, weights_: DataFrame, size: tuple[int, int], k: int = K, most: int = PAIRS) -> DataFrame:
     """(item_id, rank, doc_id, score) for all queries, by three rounds."""
-    want, seen, found = rounds(postings, wanted, weights_, k)
-    exact = docs.join(found, "uid").select("query", "uid", "doc_id", "n", F.explode("terms").alias("t")).select("query", "uid", "doc_id", "n", "t.term", "t.tf")
-    exact = scored(exact.join(want.select("query", "term", "w"), ["query", "term"]), size).groupBy("query", "uid", "doc_id").agg(F.sum("score").alias("score"))
-    best = highest(exact.where("score > 0"), k, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("uid"))
+    want, seen, found = rounds(postings, docs, wanted, weights_, size, k)
     names = want.groupBy("query").agg(F.first("item_id").alias("item_id"))
-    out = cut(best.join(names, "query").select("item_id", "rank", "doc_id", "score"))
+    out = cut(best(docs, found, want, size, k, most).join(names, "query").select("item_id", "rank", "doc_id", "score"))
     drop(want, seen, found)
     return out
 
@@ -176,7 +261,7 @@ def report(documents: DataFrame, queries: DataFrame, k: int = K, most: int = TER
     size = statistics(docs)
     weight = cut(weights(docs, terms, size[0]))
     postings = cut(lists(docs, weight, size))
-    out = search(postings, docs, wanted, weight, size, k)
+    out = search(postings, docs, wanted, weight, size, k, min(most, PAIRS))
     drop(wanted, docs, weight, postings)
     return out
 
