@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import tokens
 from corpusq.lineage import cut, folder
-from corpusq.operators import impact, segmentation
+from corpusq.operators import impact, segmentation, summaries, tree
 from corpusq.operators import postings as P
 from corpusq.plans import retrieval
 from corpusq.plans.search_queries import CONV, DOC_TERMS, SQL_SCORE, sql_doc_bm25_top, sql_postings, sql_tokens
@@ -136,3 +136,18 @@ def eval_methods(spark, d):
     expected = read(spark, d, "conversations").where("conv_id % 50 = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("id")).distinct()
     rows = retrieval.compare(chunks, postings, vecs, queries, expected, TOP)
     return rows.select("method", "queries", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "precision_returned", "recall_at_k", "mrr")])
+
+
+def said(path: str, kind: str, name: str, rows: str) -> str:
+    return f"SELECT {path} AS relative_path, count(*) || ' entries. ' || substr(string_agg('{kind} ' || {name} || ': ' || s, ' ' ORDER BY {name} || ': ' || s), 1, 400) AS s FROM {rows} GROUP BY 1"
+
+
+@query(f"""WITH f AS (SELECT source, lang, CAST(doc_id AS VARCHAR) AS name, CAST(n_chars AS VARCHAR) AS s FROM documents),
+a AS ({said("source || '/' || lang", "file", "name", "f")}), b AS ({said("split_part(relative_path, '/', 1)", "directory", "split_part(relative_path, '/', 2)", "a")}),
+c AS ({said("'.'", "directory", "relative_path", "b")})
+SELECT relative_path, s AS summary FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
+def directory_summaries(spark, d):
+    """Summaries of directories (source, language) from their files' and their own directories', deepest first."""
+    files = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("string").alias("summary"))
+    dirs = tree.directories(files.select(F.lit("p").alias("project_id"), "path"))
+    return summaries.fold(dirs, files, summaries.extract()).select("relative_path", "summary")
