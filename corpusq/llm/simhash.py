@@ -18,7 +18,7 @@ separate documents; a null doc_id is no class id unless the class has no other;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -195,16 +195,20 @@ def edges(nodes: DataFrame, bits: int = BITS, pivots: int = PIVOTS, hot: int = H
     return dealt.mapInArrow(_buckets(bits, pivots), "u bigint, v bigint")
 
 
-def classes(documents: DataFrame, *keep: Column, bits: int = BITS, pivots: int = PIVOTS, hot: int = HOT) -> DataFrame:
-    """(row, fp, component_id) for every document; component_id is the smallest doc_id that is reachable over links."""
+def classes(documents: DataFrame, *keep: Column, bits: int = BITS, pivots: int = PIVOTS, hot: int = HOT, root: bool = False) -> DataFrame:
+    """(row, fp, component_id) for every document; component_id is the smallest doc_id that is reachable over links.
+
+    With ``root`` also the class's smallest fingerprint, which names classes without any doc_id, too.
+    """
     kept = keep or (F.col("doc_id"),)
     docs = cut(fingerprints(documents, *kept))
     nodes = cut(docs.groupBy("fp").agg(F.min("row.doc_id").alias("least")))
     found = cut(roots(edges(nodes.select("fp"), bits, pivots, hot)))
     member = found.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    own = [F.coalesce("root", "fp").alias("root")] if root else []
+    linked = member.join(least, "root").select("fp", "component_id", *(["root"] if root else []))
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), *own)
     # From the checkpoint, both sides of the join are plain exchanges, so that a hot fingerprint can be split.
     return docs.join(cut(named), "fp")
 
@@ -213,15 +217,26 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_each(documents: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one of smallest doc_id (of repeated rows, one), with all columns."""
-    uid = F.xxhash64("doc_id", "text")
-    found = classes(documents, F.col("doc_id"), uid.alias("uid"), **options)
-    # A class without any doc_id has no id of its own; its fingerprints' rows are told apart by fp.
-    stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("row.uid").alias("uid"))).alias("s"))
-    rows = documents.select(F.struct(*columns(documents)).alias("doc"), uid.alias("uid")).join(stay.select("s.uid").distinct(), "uid")
-    first = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
-    return rows.withColumn("n", first).where("n = 1").select("doc.*")
+def identity(text: Column) -> Column:
+    """128 bits of a text; null is unlike any text."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.unhex(F.lit("00")))
+
+
+def one_each(documents: DataFrame, identity_of: Callable[[Column], Column] = identity, **options) -> DataFrame:
+    """One document of each class, the one of smallest doc_id, with all columns.
+
+    Of rows of that doc_id with different texts, the one of smallest ``identity``; of repeated rows, one; of a class without
+    any doc_id, one as well.  Texts are told apart by doc_id and ``identity`` together: at 128 bits, two texts of one doc_id
+    that share it are not to be expected in any corpus (under 1e-18 at 2e10 rows of one doc_id).
+    """
+    h = identity_of(F.col("text"))
+    found = classes(documents, F.col("doc_id"), h.alias("h"), root=True, **options)
+    first = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"))
+    stay = found.groupBy("root").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("__doc_id"), F.col("s.h").alias("__h")).distinct()
+    rows = documents.select(F.struct(*columns(documents)).alias("doc"), F.col("doc_id").alias("__id"), h.alias("__own"))
+    rows = rows.join(stay, F.col("__id").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__h")))
+    n = F.row_number().over(Window.partitionBy("__id", "__own").orderBy(F.lit(0)))
+    return rows.select("doc", n.alias("n")).where("n = 1").select("doc.*")
 
 
 def brute(documents: list[tuple], bits: int = BITS) -> list[tuple]:
