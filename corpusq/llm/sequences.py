@@ -46,7 +46,7 @@ from corpusq.llm.common import prepare
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END, LENGTH, ROWS = 2, 1024, 64
 #: Words that are remembered with their ids, and parts of words; the longest of them in bytes.
-MEMO, WORD = 1 << 19, 64
+MEMO, WORD = 3 << 17, 64
 #: Fixed value: the pattern by which vocabularies of this kind split words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters end here; none before combines with another.
@@ -127,6 +127,8 @@ def encoder(vocabulary: str):
     parts = Memo(lambda p: packed([t.id for t in model.tokenize(p)]))
 
     def word(w: bytes) -> bytes:
+        if usual and w.isalpha():  # letters of ASCII only
+            return parts[w.lower().decode("ascii")]
         t = w.decode("utf-8")
         if special.search(w):
             return packed(own.encode(t, add_special_tokens=False).ids)
