@@ -10,8 +10,8 @@ from corpusq.functions.text import tokens
 from corpusq.lineage import cut, folder
 from corpusq.operators import impact, segmentation, summaries, tree
 from corpusq.operators import postings as P
-from corpusq.plans import retrieval
-from corpusq.plans.search_queries import CONV, DOC_TERMS, SQL_SCORE, sql_doc_bm25_top, sql_postings, sql_tokens
+from corpusq.plans import retrieval, table_functions
+from corpusq.plans.search_queries import CONV, DOC_TERMS, SQL_SCORE, TERMS, sql_bm25, sql_doc_bm25_top, sql_postings, sql_tokens
 from corpusq.sources.tables import conversations_as_chunks, documents_as_chunks, read
 
 QUERIES: dict = {}
@@ -151,3 +151,28 @@ def directory_summaries(spark, d):
     files = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("string").alias("summary"))
     dirs = tree.directories(files.select(F.lit("p").alias("project_id"), "path"))
     return summaries.fold(dirs, files, summaries.extract()).select("relative_path", "summary")
+
+
+@query(f"WITH {sql_bm25(CONV, TERMS)} SELECT file_id, chunk_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, chunk_id LIMIT 25")
+def sql_search(spark, d):
+    """The table function search, from SQL text."""
+    chunks = conversations_as_chunks(spark, d)
+    table_functions.register(spark, cut(P.build(chunks)), P.lengths(chunks), "search_conversations")
+    return spark.sql(f"SELECT file_id, chunk_id, round(score, 6) AS score FROM search_conversations('{' '.join(TERMS)} the a', 25)")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, line_no::INT AS line_no, line, array_to_string(ls[greatest(1, line_no - 1) : line_no - 1], '|') AS before, array_to_string(ls[line_no + 1 : line_no + 1], '|') AS after FROM l WHERE contains(lower(line), 'license')""")
+def sql_grep(spark, d):
+    """The table function grep, from SQL text."""
+    table_functions.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("grepped_documents")
+    return spark.sql("SELECT doc_id, line_no, line, array_join(before, '|') AS before, array_join(after, '|') AS after FROM grep(TABLE(SELECT doc_id, text AS content FROM grepped_documents), 'License', false, 1)")
+
+
+@query("SELECT doc_id, lang, array_to_string((string_split(text, chr(10)))[least(2, len(string_split(text, chr(10)))) : greatest(2, least(4, len(string_split(text, chr(10)))))], chr(10)) AS content, len(string_split(text, chr(10)))::INT AS total_lines FROM documents")
+def sql_read_lines(spark, d):
+    """The table function read_lines, from SQL text."""
+    table_functions.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("read_documents")
+    return spark.sql("SELECT * FROM read_lines(TABLE(SELECT doc_id, lang, text AS content FROM read_documents), 2, 4)")
