@@ -7,7 +7,7 @@ import os
 import re
 
 DEFAULTS = {
-    "indexing": {"chunk_size": {"min_tokens": 400, "max_tokens": 800}, "overlap": 0.1, "file_parallelism": 2},
+    "indexing": {"chunk_size": {"min_tokens": 400, "max_tokens": 800}, "overlap": 0.1, "file_parallelism": 2, "segment": False},
     "embedding": {"batch_size": 24, "dimension": 64},
     "summary": {"mode": "batch"},
     "search": {"default_top_k": 10, "fusion": {"method": "rrf", "k": 60}, "file_boost": 0.35},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusq.config import resolve
 from corpusq.functions.text import LIBRARY_STOP_WORDS, STOP_WORDS, line_slice
 from corpusq.lineage import cut
-from corpusq.operators import bm25, changes, clues, lines, tree, vectors
+from corpusq.operators import bm25, changes, clues, lines, segmentation, tree, vectors
 from corpusq.plans import indexing, retrieval
 from corpusq.sources.catalog import SCHEMAS, Catalog
 
@@ -21,13 +21,23 @@ class Engine:
 
     def index(self, folder: str, project: str) -> str | None:
         sizes = self.settings["indexing"]["chunk_size"]
-        return indexing.index(self.catalog, folder, project, provider=self.provider, least=sizes["min_tokens"], most=sizes["max_tokens"])
+        return indexing.index(self.catalog, folder, project, provider=self.provider, least=sizes["min_tokens"], most=sizes["max_tokens"], style=self._style())
+
+    def _style(self) -> str:
+        return "words" if self.settings["indexing"]["segment"] else "index"
+
+    def ingest(self, fetched: DataFrame, project: str, folder: str = "urls") -> str:
+        """Commit fetched(url, content, error), such as rows of the source ``urls``, as files."""
+        sizes = self.settings["indexing"]["chunk_size"]
+        return indexing.ingest(self.catalog, project, fetched, folder, provider=self.provider, least=sizes["min_tokens"], most=sizes["max_tokens"], style=self._style())
 
     def terms(self, text: str, profile: str = "local") -> list[str]:
         import re
 
         if profile == "cloud":
             return text.lower().split()
+        if self._style() == "words":
+            return segmentation.Segmenter.of(self.catalog.read("lexicon"), library=profile == "library").terms(text)
         stop = LIBRARY_STOP_WORDS if profile == "library" else STOP_WORDS
         return [w for w in re.findall(r"\w+", text.lower()) if not re.fullmatch("[a-z0-9]", w) and w not in stop]
 

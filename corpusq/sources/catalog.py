@@ -18,6 +18,7 @@ SCHEMAS = {
     "projects": "project_id string, path string, alias string, summary string, valid boolean, last_updated timestamp",
     "clue_nodes": "clue_id string, node_id string, parent_id string, pos int, kind string, name string, summary string, organization string, time_format string, file_id string, seg_type string, anchor_start int, anchor_end int",
     "clues": "clue_id string, project_id string, name string, description string, principle string, created_at timestamp, updated_at timestamp",
+    "lexicon": "word string, n bigint, cost int",
     "memory": "project_id string, path string, content string, size bigint",
 }
 
@@ -30,6 +31,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str, tenant: str | None = None):
         self.spark, self.root, self.tenant = spark, root.rstrip("/"), tenant
+        self.held: list[str] = []
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -64,15 +66,28 @@ class Catalog:
             raise ValueError(f"{name} has columns {sorted(df.columns)}")
         return df
 
-    def stage(self, df: DataFrame) -> DataFrame:
-        """The rows, computed once and kept below the catalog until ``clear``: for what several tables of a commit are made from."""
-        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+    def stage(self, df: DataFrame, kind: str = "rows") -> DataFrame:
+        """The rows, computed once and kept below the catalog until ``release``: for what several tables of a commit are made from."""
+        path = f"{self.root}/staging/{kind}/{uuid.uuid4().hex}"
+        self.held.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def clear(self) -> None:
+    def staged(self, kind: str) -> DataFrame | None:
+        """What earlier runs staged whole and did not live to release; it is released with this run's."""
         fs, path = self._fs()
-        fs.delete(path(f"{self.root}/staging"), True)
+        at = path(f"{self.root}/staging/{kind}")
+        found = [f"{self.root}/staging/{kind}/{f.getPath().getName()}" for f in fs.listStatus(at)] if fs.exists(at) else []
+        found = [f for f in found if f not in self.held and fs.exists(path(f"{f}/_SUCCESS"))]
+        self.held += found
+        return self.spark.read.parquet(*found) if found else None
+
+    def release(self) -> None:
+        """Delete what this object staged or took over; other runs' folders stay."""
+        fs, path = self._fs()
+        for f in self.held:
+            fs.delete(path(f), True)
+        self.held = []
 
     def commit(self, **tables: DataFrame) -> str:
         """Write new versions of the tables and make them current together."""
