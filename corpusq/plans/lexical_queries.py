@@ -10,8 +10,9 @@ from corpusq.functions.text import tokens
 from corpusq.lineage import cut, folder
 from corpusq.operators import impact, segmentation, summaries, tree
 from corpusq.operators import postings as P
-from corpusq.plans import retrieval, table_functions
+from corpusq.plans import indexing, retrieval, table_functions
 from corpusq.plans.search_queries import CONV, DOC_TERMS, SQL_SCORE, TERMS, sql_bm25, sql_doc_bm25_top, sql_postings, sql_tokens
+from corpusq.sources.catalog import Catalog
 from corpusq.sources.tables import conversations_as_chunks, documents_as_chunks, read
 
 QUERIES: dict = {}
@@ -176,3 +177,15 @@ def sql_read_lines(spark, d):
     table_functions.register(spark)
     read(spark, d, "documents").createOrReplaceTempView("read_documents")
     return spark.sql("SELECT * FROM read_lines(TABLE(SELECT doc_id, lang, text AS content FROM read_documents), 2, 4)")
+
+
+@query("""SELECT 'd' || (conv_id % 7) || '/' || conv_id || '.md' AS path, 'md' AS type, CASE WHEN bool_and(turn % 9 <> 0) THEN 'indexed' ELSE 'embedding' END AS status, count(*)::INT AS chunk_count, sum(strlen(text))::BIGINT AS size
+FROM conversations GROUP BY conv_id""")
+def import_commit(spark, d):
+    """Conversations as ready chunks, some without vectors, committed to a new catalog: its files."""
+    c = read(spark, d, "conversations")
+    vector = F.when(F.col("turn") % 9 != 0, F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>"))
+    rows = c.select(F.concat(F.lit("d"), (F.col("conv_id") % 7).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.col("turn").cast("int").alias("idx"), F.col("text").alias("content"), F.lit("").alias("locator"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), vector.alias("content_vector"), F.lit("h").alias("hash"))
+    catalog = Catalog(spark, f"{folder(spark)}/catalog-{uuid.uuid4().hex}")
+    indexing.import_rows(catalog, "p", rows)
+    return catalog.read("files").select("path", "type", "status", "chunk_count", "size")
