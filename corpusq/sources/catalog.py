@@ -87,6 +87,9 @@ class Catalog:
         fs, path = self._fs()
         for f in self.held:
             fs.delete(path(f), True)
+        for f in [*dict.fromkeys(f.rpartition("/")[0] for f in self.held), f"{self.root}/staging"]:
+            if fs.exists(path(f)) and not fs.listStatus(path(f)):
+                fs.delete(path(f), False)
         self.held = []
 
     def commit(self, **tables: DataFrame) -> str:
