@@ -142,8 +142,7 @@ LONE = (
 )
 
 
-#: Words that patterns match where they allow no space after a keyword.  Only ``scan`` opens its gate by them: the
-#: registered SQL has the keywords alone and misses such texts.
+#: Words that patterns match where they allow no space after a keyword.
 GLUED = {"gpl": "gpl1|gpl2|gpl3|gplversion", "agpl": "agpl3|agplversion"}
 
 
@@ -243,7 +242,7 @@ def report(documents: DataFrame, *keep: Column) -> DataFrame:
 def sql() -> str:
     """The same as DuckDB SQL: rules as a table, suppression as an anti-join."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {quote(a)}, {quote(k)}, {quote(p)}, {n}, {w}::DOUBLE)" for i, (a, k, p, n, w) in enumerate(rules()))
+    values = ", ".join(f"({i}, {quote(a)}, {quote(gate(k))}, {quote(p)}, {n}, {w}::DOUBLE)" for i, (a, k, p, n, w) in enumerate(rules()))
     base = ", ".join(f"({quote(' ' + '  '.join(p.split()) + ' ')}, {quote(a)})" for p, a in BASE.items())
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     at = "CAST((list_sum([len(x) - len(replace(x, ' ', '')) for x in parts[1 : i]]) + coalesce(list_sum([len(x) - len(replace(x, ' ', '')) for x in hits[1 : i - 1]]), 0)) / 2 AS BIGINT)"

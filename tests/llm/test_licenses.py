@@ -3,6 +3,7 @@ import re
 from itertools import product
 from re import _constants, _parser
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusq.llm import licenses as L
@@ -85,3 +86,16 @@ def test_every_rule_passes_prefilter_and_gate(spark):
         norm = " " + "  ".join(re.findall(r"[a-z0-9]+", t.lower())) + " "
         seen = sorted((m.start(), -m.end(), -p, k, label) for k, (label, _, pattern, p, _) in enumerate(rules) for m in re.finditer(pattern, norm))
         assert got[t] == {x[4] for i, x in enumerate(seen) if not any(o[1] <= x[1] and o[2] <= x[2] for o in seen[:i])}, t
+
+
+def test_sql_finds_what_the_query_finds(spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["GPL2", "under GPL3 or AGPL3", "gplversion 2", "agplversion 3", "GNU GPL1, later GPL 2", "Released under ASL 2.0", "mit license MIT No Attribution", "nothing", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = df.toPandas()
+    c = duckdb.connect()
+    c.register("documents", documents)
+    want = sorted(str(tuple(r)) for r in c.sql(L.sql()).fetchall())
+    got = L.report(df).selectExpr("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert {r.doc_id for r in got if "gpl" in r.labels} == {0, 1, 2, 3, 4}
