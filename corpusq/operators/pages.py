@@ -19,6 +19,29 @@ def to_markdown(pages: DataFrame, key: str, page: str) -> DataFrame:
     return joined.join(at.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("mapping")), key)
 
 
+#: Fixed value: how far apart in height two fragments of one line may stand.
+LINE_GAP = 4.0
+
+
+def assemble(fragments: DataFrame, *key: str, gap: float = LINE_GAP, by_x: bool = False) -> DataFrame:
+    """(key, content): the lines of pages from positioned text, fragments(key, seq, x, y, text, eol) in the order of seq.
+
+    A fragment begins a line if its height differs from the last known one before it by more than ``gap``, or if the one
+    before ended a line.  White space counts as one space, NUL bytes as nothing; lines without text are left out, and the
+    fragments of a line stand in their order, or with ``by_x`` from left to right.  A page's fragments meet in one task.
+    """
+    w = Window.partitionBy(*key).orderBy("seq")
+    above = F.last("y", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.coalesce(F.lag("eol").over(w), F.lit(False))
+    begins = ended | F.coalesce(F.abs(F.col("y") - above) > gap, F.lit(False))
+    text = F.trim(F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\0"), F.lit("")), r"\s+", " "))
+    rows = fragments.withColumns({"__begins": begins.cast("int"), "__text": text}).withColumn("__line", F.sum("__begins").over(w)).where("__text <> ''")
+    order = F.struct(F.col("x") if by_x else F.lit(None).cast("double").alias("x"), "seq", "__text")
+    lines_ = rows.groupBy(*key, "__line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda p: p["__text"]), " ").alias("t"))
+    joined = lines_.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__line", "t"))), lambda p: p["t"]), "\n").alias("content"))
+    return fragments.select(*key).distinct().join(joined, list(key), "left").select(*key, F.coalesce("content", F.lit("")).alias("content"))
+
+
 def with_markers(pages: DataFrame, key: str, page: str) -> DataFrame:
     """Like ``to_markdown``, with a marker line and a blank line before every page; mappings are moved along."""
     marked = pages.withColumn("content", F.concat(F.lit("<!-- page: "), F.col(page).cast("string"), F.lit(" -->\n\n"), F.col("content")))

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from corpusq.lineage import cut
 
 
+#: Fixed value: the language by which listings of names and paths are ordered where they are shown.
+COLLATION = "zh"
+
+
+def by_name(rows: DataFrame, name: str, collation: str = COLLATION) -> DataFrame:
+    """Rows in the order of a language; equal ones, as in accents that it does not tell apart, in that of bytes."""
+    return rows.orderBy(F.collate(name, collation), name)
+
+
 def prefixes(path: Column) -> Column:
     """Every ancestor of a path and the path itself; ``.`` stands above all."""
     parts = F.split(path, "/")

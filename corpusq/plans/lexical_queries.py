@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import tokens
 from corpusq.lineage import cut, folder
-from corpusq.operators import impact, segmentation, summaries, tree
+from corpusq.operators import impact, pages, segmentation, summaries, tree
 from corpusq.operators import postings as P
 from corpusq.plans import indexing, retrieval, table_functions
 from corpusq.plans.search_queries import CONV, DOC_TERMS, SQL_SCORE, TERMS, sql_bm25, sql_doc_bm25_top, sql_postings, sql_tokens
@@ -189,3 +189,24 @@ def import_commit(spark, d):
     catalog = Catalog(spark, f"{folder(spark)}/catalog-{uuid.uuid4().hex}")
     indexing.import_rows(catalog, "p", rows)
     return catalog.read("files").select("path", "type", "status", "chunk_count", "size")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+f AS (SELECT conv_id, turn, i, w[i + 1] AS t, 800 - 12 * (i // 8) - (i % 3) * 0.75 AS y, i % 29 = 0 AS eol FROM (SELECT *, unnest(range(0, len(w))) AS i FROM w)),
+b AS (SELECT *, (coalesce(abs(y - lag(y) OVER p) > 4, false) OR coalesce(lag(eol) OVER p, false))::INT AS begins FROM f WINDOW p AS (PARTITION BY conv_id, turn ORDER BY i)),
+l AS (SELECT *, sum(begins) OVER (PARTITION BY conv_id, turn ORDER BY i) AS line FROM b),
+j AS (SELECT conv_id, turn, line, string_agg(t, ' ' ORDER BY i) AS t FROM l GROUP BY ALL)
+SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY line) AS content FROM j GROUP BY ALL""")
+def assembled_lines(spark, d):
+    """Lines of positioned fragments: every word of a turn at a place, eight words a line, some ends of lines marked."""
+    words = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).alias("seq", "text"))
+    y = 800 - 12 * F.floor(F.col("seq") / 8) - (F.col("seq") % 3) * 0.75
+    placed = words.withColumns({"x": (F.col("seq") % 8) * 40.0, "y": y.cast("double"), "eol": F.col("seq") % 29 == 0})
+    return pages.assemble(placed, "conv_id", "turn")
+
+
+@query()
+def collated_names(spark, d):
+    """Names and their places in the order of a language, not of bytes: accents and cases stand beside their letters."""
+    names = read(spark, d, "nation").select(F.explode(F.array(F.initcap("n_name"), F.lower("n_name"), F.translate("n_name", "AEIOU", "ÄÉÎÖÜ"))).alias("name"))
+    return tree.by_name(names.distinct(), "name")

@@ -23,7 +23,7 @@ from corpusq.operators import bm25
 
 def _given(table: AnalyzeArgument, added: StructType) -> AnalyzeResult:
     if not table.isTable or "content" not in table.dataType.names:
-        raise ValueError("the first argument must be a table with a column content")
+        raise ValueError("the table must have a column content")
     clash = {n.lower() for n in table.dataType.names} & {f.name.lower() for f in added} - {"content"}
     if clash:
         raise ValueError(f"the table must not have columns {sorted(clash)}")
