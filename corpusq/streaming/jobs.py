@@ -37,26 +37,22 @@ def jobs(df: DataFrame, key: str = "file_id", delay: str = "1 hour", at: str = "
 
 
 def states(df: DataFrame, key: str = "file_id", status: str = "status") -> DataFrame:
-    """The state of every key after each batch; moves that the state machine doesn't know are marked and leave the state."""
-    allowed = {a: sorted(b) for a, b in STATES.items()}
-
-    def step(k, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        now = state.get[0] if state.exists else None
-        bad = 0
-        rows = sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.status))
-        for r in rows:
-            if now is None or r.status in allowed.get(now, []):
-                now = r.status
-            else:
-                bad += 1
-        state.update((now,))
-        yield pd.DataFrame({key: [k[0]], "status": [now], "rejected": [bad]})
-
-    rows = df.select(F.col(key), F.col("ts"), F.col(status).alias("status"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string, rejected int", "status string", "update", "NoTimeout")
+    """The state of every key after each batch; moves that the state machine doesn't know are marked and leave the state.
+
+    An aggregation in the engine, without Python for each key: the moves of a key stay in the stream's state and are
+    folded in the order of their batches, times and names.  ``rejected`` counts the unknown moves of the last batch.
+    """
+    known = [f"{a}>{b}" for a, to in STATES.items() for b in sorted(to)]
+
+    def step(s, m):
+        ok = s["now"].isNull() | F.coalesce(F.concat(s["now"], F.lit(">"), m["status"]).isin(*known), F.lit(False))
+        bad = F.when(s["batch"] == m["batch"], s["bad"]).otherwise(0) + F.when(ok, 0).otherwise(1)
+        return F.struct(F.when(ok, m["status"]).otherwise(s["now"]).alias("now"), bad.alias("bad"), m["batch"].alias("batch"))
+
+    move = F.struct(F.current_timestamp().alias("batch"), F.col("ts"), F.col(status).alias("status"))
+    moves = df.select(key, move.alias("move")).groupBy(key).agg(F.array_sort(F.collect_list("move")).alias("moves"))
+    first = F.struct(F.lit(None).cast("string").alias("now"), F.lit(0).alias("bad"), F.lit(None).cast("timestamp").alias("batch"))
+    return moves.select(key, F.reduce("moves", first, step).alias("s")).select(key, F.col("s.now").alias("status"), F.col("s.bad").alias("rejected"))
 
 
 def feed(df: DataFrame, by: str = "event_type") -> DataFrame:

@@ -28,6 +28,26 @@ def test_states_and_resume(spark, tmp_path):
     assert seen == {"f": [("indexing", 0), ("indexed", 0)], "g": [("pending", 0), ("pending", 1)]}
 
 
+def test_states_of_many_keys_without_python_per_key(spark, tmp_path):
+    """Moves out of order, unknown and repeated ones, over two runs; no Python work for each key is in the plan."""
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    source, seen = str(tmp_path / "in"), {}
+    write(spark, source, "a", [(f"k{i}", at(2), "indexing") for i in range(50)] + [(f"k{i}", at(1), "pending") for i in range(50)])
+    rows = jobs.states(spark.readStream.schema("file_id string, ts timestamp, status string").option("recursiveFileLookup", True).parquet(source))
+    assert "InPandas" not in rows._jdf.queryExecution().toString()
+    keep = lambda df, n: seen.update({r.file_id: (r.status, r.rejected) for r in df.collect()})
+    run = lambda: rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert seen == {f"k{i}": ("indexing", 0) for i in range(50)}
+    # A late move of an earlier time counts when it arrives, and only this batch's unknown moves are rejected.
+    write(spark, source, "b", [("k1", at(0), "failed"), ("k1", at(3), "nonsense"), ("k1", at(4), "indexed"), ("k2", at(3), "indexing"), ("k3", at(3), "indexed"), ("k3", at(3), "failed")])
+    run()
+    assert (seen["k1"], seen["k2"], seen["k3"], seen["k4"]) == (("failed", 2), ("indexing", 1), ("failed", 1), ("indexing", 0))
+    write(spark, source, "c", [("k1", at(5), "pending")])
+    run()
+    assert seen["k1"] == ("pending", 0)
+
+
 def test_incoming_files_once(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
