@@ -215,3 +215,39 @@ def test_config():
     for bad in ({"embedding": {"batch_size": 65}}, {"search": {"fusion": {"method": "x"}}}, {"summary": {"mode": "x"}}):
         with pytest.raises(ValueError):
             config.resolve(bad)
+
+
+def test_boxes_of_many_sheets_at_once(spark):
+    """Regions and tables of random sheets are those of the plain definitions, without Python for each sheet."""
+    import random
+
+    rnd = random.Random(5)
+    cells = []
+    for s in range(60):
+        for _ in range(rnd.choice([1, 3, 12, 40])):
+            r, c = rnd.randint(1, 14), rnd.randint(1, 9)
+            cells += [(f"s{s}", r, c, rnd.choice(["x", "x", ""]), "", rnd.random() < 0.5, rnd.choice(["", None, "red", "blue"]))] * rnd.choice([1, 1, 2])
+    cells += [("one", 1, 1, "x", "", False, "")]
+    df = spark.createDataFrame(cells, "sheet string, row int, col int, value string, formula string, bordered boolean, bg string")
+    names = {c[0] for c in cells}
+    box = lambda df: sorted((r.sheet, r.range, r.top, r.left, r.bottom, r.right) for r in df.collect())
+    brute = lambda found: sorted((s, sheets.a1(*b), *b) for s in names for b in found(s))
+    assert box(sheets.regions(df)) == brute(lambda s: sheets.split_regions({(c[1], c[2]) for c in cells if c[0] == s and (c[3] or c[5])}))
+    kinds = {}
+    for s, r, c, _, _, line, bg in cells:
+        if line or bg:
+            kinds.setdefault((s, line or bg), set()).add((r, c))
+    assert box(sheets.tables(df)) == brute(lambda s: {b for (t, _), points in kinds.items() if t == s for b in sheets.components(points)})
+    for found in (sheets.regions(df), sheets.tables(df)):
+        assert "InPandas" not in found._jdf.queryExecution().toString() and found.where("sheet = 'none'").count() == 0
+    assert sheets.tables(df.where("sheet = 'one'").withColumn("bg", F.lit("red"))).count() == 0
+
+
+def test_sheets_longer_than_a_batch(spark):
+    """A sheet's cells stay together where they come in several batches."""
+    import pyarrow as pa
+
+    rows = [("a", i) for i in range(3)] + [("b", i) for i in range(11)] + [("c", 0)] + [("d", i) for i in range(5)]
+    batches = [pa.RecordBatch.from_pylist([{"sheet": s, "row": r} for s, r in rows[i : i + 4]]) for i in range(0, len(rows), 4)]
+    got = [[(x["sheet"], x["row"]) for x in t.to_pylist()] for t in sheets._whole_sheets(iter(batches))]
+    assert [x for t in got for x in t] == rows and not any({s for s, _ in a} & {s for s, _ in b} for i, a in enumerate(got) for b in got[i + 1 :])
