@@ -10,6 +10,7 @@ the first whose summary does not change.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,9 +81,11 @@ def fold(directories: DataFrame, files: DataFrame, summarise: Callable[[list[tup
 
 
 def extract(most: int = 400) -> Callable[[list[tuple[str, str]]], list[str]]:
-    """A summariser without a model: the number of lines and the first ``most`` characters of them."""
+    """A summariser without a model: the number of lines, with those that the request only counts, and the first ``most`` characters of them."""
 
-    def run(asked: list[tuple[str, str]]) -> list[str]:
-        return [f"{len(text.splitlines())} entries. {' '.join(text.split())[:most]}" for _, text in asked]
+    def one(text: str) -> str:
+        more = re.search(r"\n\(and (\d+) more\)$", text)
+        text = text[: more.start()] if more else text
+        return f"{len(text.splitlines()) + (int(more[1]) if more else 0)} entries. {' '.join(text.split())[:most]}"
 
-    return run
+    return lambda asked: [one(text) for _, text in asked]

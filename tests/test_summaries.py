@@ -57,6 +57,12 @@ def test_requests_are_bounded_and_keys_are_not(spark, monkeypatch):
     assert other.text == one.text and other.content_key != one.content_key
 
 
+def test_large_directories_count_all_their_entries(spark):
+    files = [(f"d/{i:05d}", "s") for i in range(S.LINES + 500)]
+    got = {r.relative_path: r.summary for r in S.fold(*frames(spark, files, [".", "d"]), S.extract(20)).collect()}
+    assert got == {"d": "1500 entries. file 00000: s file 0", ".": "1 entries. directory d: 1500 en"}
+
+
 def test_query_agrees_with_sql(spark):
     import os
 
