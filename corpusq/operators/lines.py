@@ -116,20 +116,26 @@ def document_class(kinds: DataFrame, key: str) -> DataFrame:
 def best_overlap(ranges: DataFrame, mapping: DataFrame, file: str = "file_id", width: int = 64) -> DataFrame:
     """For ranges(file, id, first, last) the mapping(file, pos, first, last, locator) with the longest overlap, then the first.
 
-    Both sides are cut into cells of ``width`` lines, so the join is an equi-join on file and cell; a pair is looked at
-    in the first cell that it shares.
+    Only the distinct ranges of a file meet, of equal ones in the mapping the first; their number is bounded by the
+    file's lines, not by its rows.  Both sides are cut into cells of ``width`` lines, so the join is an equi-join on file
+    and cell; a pair is looked at in the first cell that it shares.
     """
-    cells = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    r = cells(ranges.select(file, "id", "first", "last"))
-    m = cells(mapping.select(file, F.col("pos"), F.col("first").alias("m_first"), F.col("last").alias("m_last"), "locator").withColumns({"first": F.col("m_first"), "last": F.col("m_last")})).drop("first", "last")
-    both = r.join(m, [file, "cell"]).where((F.col("m_first") <= F.col("last")) & (F.col("first") <= F.col("m_last")) & (F.col("cell") == F.greatest(F.floor(F.col("first") / width), F.floor(F.col("m_first") / width))))
+    cells = lambda df, a, b: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
+    r = cells(ranges.select(file, "first", "last").distinct(), "first", "last")
+    m = mapping.groupBy(file, F.col("first").alias("m_first"), F.col("last").alias("m_last")).agg(F.max(F.struct((-F.col("pos")).alias("p"), "locator")).alias("m"))
+    both = r.join(cells(m, "m_first", "m_last"), [file, "cell"]).where((F.col("m_first") <= F.col("last")) & (F.col("first") <= F.col("m_last")) & (F.col("cell") == F.greatest(F.floor(F.col("first") / width), F.floor(F.col("m_first") / width))))
     overlap = F.least("last", "m_last") - F.greatest("first", "m_first") + 1
-    return both.groupBy(file, "id").agg(F.max(F.struct(overlap.alias("overlap"), (-F.col("pos")).alias("p"), "locator")).alias("b")).select(file, "id", "b.locator", "b.overlap")
+    best = both.groupBy(file, "first", "last").agg(F.max(F.struct(overlap.alias("overlap"), "m.p", "m.locator")).alias("b"))
+    return ranges.join(best, [file, "first", "last"]).groupBy(file, "id").agg(F.max("b").alias("b")).select(file, "id", "b.locator", "b.overlap")
 
 
 def entry_chunks(entries: DataFrame, chunks: DataFrame, file: str = "file_id", width: int = 64) -> DataFrame:
-    """entries(file, entry, line) with the last chunk(file, idx, chunk_id, first, last) that covers the line, null if none."""
-    c = chunks.select(file, F.col("idx"), "chunk_id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("cell"))
-    hits = entries.withColumn("cell", F.floor(F.col("line") / width)).join(c, [file, "cell"]).where("line between first and last")
-    last = hits.groupBy(file, "entry").agg(F.max_by("chunk_id", "idx").alias("chunk_id"))
-    return entries.join(last, [file, "entry"], "left")
+    """entries(file, entry, line) with the last chunk(file, idx, chunk_id, first, last) that covers the line, null if none.
+
+    Only a file's distinct lines meet its distinct ranges, of equal ones the last chunk's.
+    """
+    c = chunks.groupBy(file, "first", "last").agg(F.max_by("chunk_id", "idx").alias("chunk_id"), F.max("idx").alias("idx"))
+    c = c.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    lines = entries.select(file, "line").distinct().withColumn("cell", F.floor(F.col("line") / width))
+    hits = lines.join(c, [file, "cell"]).where("line between first and last")
+    return entries.join(hits.groupBy(file, "line").agg(F.max_by("chunk_id", "idx").alias("chunk_id")), [file, "line"], "left")

@@ -251,3 +251,31 @@ def test_sheets_longer_than_a_batch(spark):
     batches = [pa.RecordBatch.from_pylist([{"sheet": s, "row": r} for s, r in rows[i : i + 4]]) for i in range(0, len(rows), 4)]
     got = [[(x["sheet"], x["row"]) for x in t.to_pylist()] for t in sheets._whole_sheets(iter(batches))]
     assert [x for t in got for x in t] == rows and not any({s for s, _ in a} & {s for s, _ in b} for i, a in enumerate(got) for b in got[i + 1 :])
+
+
+def within(spark, seconds, rows):
+    """The collected rows, by a job that is cancelled after some time."""
+    import threading
+
+    spark.sparkContext.setJobGroup("within", "bounded", True)
+    timer = threading.Timer(seconds, spark.sparkContext.cancelJobGroup, ["within"])
+    timer.start()
+    try:
+        return rows.collect()
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_equal_line_ranges_meet_once(spark):
+    """60 000 rows on either side, all in one file: the pairs would be 3.6 billion, the distinct ranges are few."""
+    n = 60000
+    i = F.col("id")
+    r = spark.range(n).select(F.lit("f").alias("file_id"), i, (i % 3 + 1).alias("first"), (i % 3 + 3).alias("last"))
+    m = spark.range(n).select(F.lit("f").alias("file_id"), i.alias("pos"), F.lit(2).alias("first"), (i % 2 + 4).alias("last"), F.concat(F.lit("p"), i).alias("locator"))
+    got = within(spark, 90, lines.best_overlap(r, m).groupBy("locator", "overlap").agg(F.count("*").alias("n")))
+    assert {(x.locator, x.overlap): x.n for x in got} == {("p0", 2): n // 3, ("p0", 3): n // 3, ("p1", 3): n // 3}
+    entries = r.select("file_id", i.alias("entry"), (i % 3 + 3).alias("line"))
+    chunks = m.select("file_id", F.col("pos").alias("idx"), F.col("locator").alias("chunk_id"), "first", "last")
+    got = within(spark, 90, lines.entry_chunks(entries.unionByName(entries.limit(1).withColumn("line", F.lit(99).cast("bigint"))), chunks).groupBy("line", "chunk_id").agg(F.count("*").alias("n")))
+    assert {(x.line, x.chunk_id): x.n for x in got} == {(3, f"p{n - 1}"): n // 3, (4, f"p{n - 1}"): n // 3, (5, f"p{n - 1}"): n // 3, (99, None): 1}
