@@ -291,3 +291,35 @@ def test_metrics_of_labels_are_those_of_all_pairs(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(evaluation.per_query_of_label(hits, queries, items, 5)) == rows(evaluation.per_query(hits, expected, 5))
     assert rows(evaluation.missed_of_label(hits, queries, items)) == rows(evaluation.missed(hits, expected).groupBy("query_id").agg(F.count("*").alias("missed")))
+
+
+def test_nearest_rows_are_kept_in_bounded_memory(spark):
+    """A task holds some blocks of scores, whatever the batches; ties by key, also over blocks and batches."""
+    import tracemalloc
+
+    import numpy as np
+
+    from corpusq.operators import vectors
+
+    rng = np.random.default_rng(3)
+    best, seen = vectors._Best(1024, 10), []
+    for b in range(4):
+        s = rng.integers(0, 500, (1024, 1024)) / 500
+        keys = np.arange(b * 1024, (b + 1) * 1024)[::-1]
+        seen.append((s[::100], keys))
+        tracemalloc.start()
+        best.add(s, keys)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+        tracemalloc.stop()
+    s, keys = np.concatenate([x for x, _ in seen], axis=1), np.concatenate([x for _, x in seen])
+    query, score, key = best.held
+    for i, row in enumerate(s):
+        order = np.lexsort((keys, -row))[:10]
+        own = query == i * 100
+        assert key[own].tolist() == keys[order].tolist() and score[own].tolist() == row[order].tolist()
+    rows = spark.createDataFrame([(f"v{i:04d}", [float(i % 5), 1.0 if i % 11 else None, 0.0]) for i in range(300)] + [("none", None), ("zero", [0.0, 0.0, 0.0])], "vec_id string, embedding array<double>").repartition(3)
+    asked = rows.where("vec_id in ('v0001', 'v0007', 'zero')").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {}
+    for r in vectors.knn_many(rows, asked, 4, block=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {"v0001": ["v0001", "v0006", "v0016", "v0021"], "v0007": ["v0002", "v0007", "v0012", "v0017"]}
