@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ MOST, LEAST, COHESION, SIZE = 4, 5, 20.0, 1 << 16
 SCHEMA = "word string, n bigint, cost int"
 #: Ideographs of a run that are counted at once.
 PIECE = 1024
+#: Texts that a task cuts before their words are packed.
+ROWS = 64
 
 
 def ngrams(texts: DataFrame, text: str, most: int = MOST) -> DataFrame:
@@ -117,10 +119,12 @@ class Segmenter:
         return [t for t in out if not (len(t) == 1 and t.isascii() and t.isalnum()) and t not in stop]
 
     def tokens(self, text: Column) -> Column:
-        """``terms`` as a column, over Arrow batches."""
+        """``terms`` as a column, over Arrow batches, of which ``ROWS`` texts at a time are Python objects."""
 
-        @F.pandas_udf("array<string>")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(self.terms, na_action=None)
+        @F.arrow_udf("array<string>")
+        def run(texts: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.string())
+            parts = (pa.array([self.terms(x) for x in texts.slice(i, ROWS).to_pylist()], kind) for i in range(0, len(texts), ROWS))
+            return pa.concat_arrays([pa.array([], kind), *parts])
 
         return run(text)

@@ -196,3 +196,34 @@ def test_queries_agree_with_sql(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no sample tables")
     test_query_agrees_with_sql(spark, name)
+
+
+def test_texts_are_cut_and_packed_few_at_a_time(monkeypatch):
+    """Tasks turn some texts of a batch into Python objects, not all of them; the words are those of each text alone."""
+    import pyarrow as pa
+
+    from corpusq.operators import chunking
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    n = 10 * chunking.ROWS + 3
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([f"text {i}" for i in range(n)])], ["file_id", "content"])
+    frame = Frame()
+    monkeypatch.setattr(chunking, "F", type("F", (), {"col": staticmethod(lambda c: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, t: s})())}))
+    out = list(chunking.chunk_files(frame, 400, 1 << 30).run(iter([batch])))
+    assert max(b.num_rows for b in out) == chunking.ROWS and [x for b in out for x in b.column("content").to_pylist()] == [f"text {i}" for i in range(n)]
+    assert segmentation.ROWS <= 1024
+
+
+def test_segmented_column_over_many_texts(spark):
+    words = spark.createDataFrame([("\u4e2d\u6587", 9, 100), ("\u4e2d", 9, 900), ("\u6587", 9, 900)], segmentation.SCHEMA)
+    own = segmentation.Segmenter.of(words)
+    n = 3 * segmentation.ROWS + 1
+    rows = spark.range(n).coalesce(1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("\u4e2d\u6587 x"), F.col("id"))).alias("t"))
+    assert {r.id: r.w for r in rows.select("id", own.tokens(F.col("t")).alias("w")).collect()} == {i: ["\u4e2d\u6587", f"x{i}"] if i % 7 else [] for i in range(n)}
