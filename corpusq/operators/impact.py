@@ -22,6 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.functions.text import tokens
 from corpusq.operators import bm25
 from corpusq.operators import postings as P
 
@@ -68,8 +69,30 @@ def _pack(size: int):
 
 def blocks(postings: DataFrame, lengths: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of ``SCHEMA`` from postings of the ``local`` profile and lengths(file_id, length)."""
+    return _blocks(postings, P.document_frequency(postings), lengths, size)
+
+
+def blocks_of(chunks: DataFrame, style: str = "index", size: int = SIZE) -> DataFrame:
+    """``blocks`` of the postings of chunks(file_id, chunk_id, content), which are not made for it.
+
+    The tokens of a file are brought together once; a chunk's terms are counted in place, as runs of its sorted tokens, so
+    neither positions nor single tokens are shuffled, and files by term are counted before their shuffle.
+    """
+    rows = chunks.select("file_id", "chunk_id", tokens(F.col("content"), style).alias("terms")).where(F.size("terms") > 0).repartition("file_id")
+    whole = rows.groupBy("file_id", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list("terms"))).alias("s"))
+    files = whole.groupBy("file_id").agg(F.collect_list(F.struct("chunk_id", "s")).alias("chunks"), F.sum(F.size("s")).cast("bigint").alias("length"))
+    df = files.select(F.explode(F.array_distinct(F.flatten("chunks.s"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    own = files.select("file_id", F.col("length").alias("doc_length"), F.explode("chunks").alias("c")).select("file_id", "doc_length", "c.chunk_id", "c.s")
+    n = F.size("s")
+    own = own.withColumn("at", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
+    runs = F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("bigint").alias("tf")))
+    counts = own.select("file_id", "doc_length", "chunk_id", F.explode(runs).alias("t")).select("t.term", "file_id", "chunk_id", "t.tf", "doc_length")
+    return _blocks(counts, df, files.select("file_id", "length"), size)
+
+
+def _blocks(postings: DataFrame, df: DataFrame, lengths: DataFrame, size: int) -> DataFrame:
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    rows = postings.join(P.document_frequency(postings), "term").crossJoin(F.broadcast(stats))
+    rows = postings.join(df, "term").crossJoin(F.broadcast(stats))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     impact = bm25.term_score(F.col("tf"), F.col("doc_length"), mean, bm25.idf(F.col("n"), F.col("df")))
     order = [F.col("term"), F.col("impact").desc(), F.col("chunk_id")]

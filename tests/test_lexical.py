@@ -227,3 +227,15 @@ def test_segmented_column_over_many_texts(spark):
     n = 3 * segmentation.ROWS + 1
     rows = spark.range(n).coalesce(1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("\u4e2d\u6587 x"), F.col("id"))).alias("t"))
     assert {r.id: r.w for r in rows.select("id", own.tokens(F.col("t")).alias("w")).collect()} == {i: ["\u4e2d\u6587", f"x{i}"] if i % 7 else [] for i in range(n)}
+
+
+def test_blocks_of_chunks_are_those_of_their_postings(spark):
+    """Files of several chunks, chunks of several entries, texts without tokens; no single token is shuffled."""
+    rnd = random.Random(11)
+    rows = [(f"f{i % 9}", "d", f"c{i % 23}-{i % 9}", " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "rare%d" % i]) for _ in range(rnd.randint(0, 30)))) for i in range(300)] + [("none", "d", "none", None)]
+    chunks = spark.createDataFrame(rows, "file_id string, dir_id string, chunk_id string, content string")
+    flat = lambda df: sorted((r.term, c, f, round(x, 9)) for r in df.collect() for c, f, x in zip(r.chunk_ids, r.file_ids, r.impacts))
+    made = impact.blocks_of(chunks, size=7)
+    assert flat(made) == flat(impact.blocks(P.build(chunks), P.lengths(chunks), 7))
+    assert all(r.n <= 7 and r.highest == r.impacts[0] == max(r.impacts) for r in made.collect())
+    assert "posexplode" not in made._jdf.queryExecution().toString()
