@@ -239,3 +239,16 @@ def test_blocks_of_chunks_are_those_of_their_postings(spark):
     assert flat(made) == flat(impact.blocks(P.build(chunks), P.lengths(chunks), 7))
     assert all(r.n <= 7 and r.highest == r.impacts[0] == max(r.impacts) for r in made.collect())
     assert "posexplode" not in made._jdf.queryExecution().toString()
+
+
+def test_a_query_cuts_texts_into_tokens_once(spark):
+    """With lengths, the query's own postings are made once, and the list is the same."""
+    from corpusq.plans import retrieval
+
+    chunks = spark.createDataFrame([(str(i), "d", str(i), " ".join(["alpha"] * (i % 3) + ["beta"] * (i % 4) + ["gamma"])) for i in range(40)], "file_id string, dir_id string, chunk_id string, content string")
+    vecs = spark.createDataFrame([("1", "d", [1.0, 0.0])], "chunk_id string, dir_id string, embedding array<double>")
+    postings, sizes = P.build(chunks), P.lengths(chunks)
+    got = retrieval.lists(chunks, postings, vecs, [1.0, 0.0], ["alpha", "beta"], 8, "local", None, sizes)[1]
+    rows = lambda df: [(r.chunk_id, round(r.score, 9)) for r in df.orderBy(F.round("score", 9).desc(), "chunk_id").collect()]
+    assert rows(got) == rows(bm25.search(postings, ["alpha", "beta"], top_k=8)) and len(rows(got)) == 8
+    assert "posexplode" not in got._jdf.queryExecution().toString()
