@@ -30,6 +30,8 @@ SIZE = 128
 SCHEMA = "term string, highest double, n int, chunk_ids array<string>, file_ids array<string>, impacts array<double>"
 #: Sums of doubles in another order may differ by less.
 SLACK = 1e-7
+#: Terms in at least one of so many files have their frequencies broadcast; they number at most this times a file's mean terms.
+OFTEN = 4096
 
 
 def _pack(size: int):
@@ -72,32 +74,50 @@ def blocks(postings: DataFrame, lengths: DataFrame, size: int = SIZE) -> DataFra
     return _blocks(postings, P.document_frequency(postings), lengths, size)
 
 
+def _runs(rows: DataFrame) -> DataFrame:
+    """With a column ``s`` of sorted tokens as ``terms``, each once, and ``counts``; both null where s is."""
+    n = F.size("s")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.withColumn("at", F.when(n > 0, starts).when(n == 0, F.array().cast("array<int>")))
+    return rows.withColumns({"terms": F.array_distinct("s"), "counts": F.transform("at", lambda i, k: F.coalesce(F.get("at", k + 1), n) - i)}).drop("s", "at")
+
+
 def blocks_of(chunks: DataFrame, style: str = "index", size: int = SIZE) -> DataFrame:
     """``blocks`` of the postings of chunks(file_id, chunk_id, content), which are not made for it.
 
-    The tokens of a file are brought together once; a chunk's terms are counted in place, as runs of its sorted tokens, so
-    neither positions nor single tokens are shuffled, and files by term are counted before their shuffle.
+    Terms are counted in place, as runs of a text's sorted tokens, and brought together by file as lines of one text, which
+    compresses well; so no token may hold a line end.  Neither positions nor single tokens are shuffled, and files by term are
+    counted before their shuffle.
     """
-    rows = chunks.select("file_id", "chunk_id", tokens(F.col("content"), style).alias("terms")).where(F.size("terms") > 0).repartition("file_id")
-    whole = rows.groupBy("file_id", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list("terms"))).alias("s"))
-    files = whole.groupBy("file_id").agg(F.collect_list(F.struct("chunk_id", "s")).alias("chunks"), F.sum(F.size("s")).cast("bigint").alias("length"))
-    df = files.select(F.explode(F.array_distinct(F.flatten("chunks.s"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    own = files.select("file_id", F.col("length").alias("doc_length"), F.explode("chunks").alias("c")).select("file_id", "doc_length", "c.chunk_id", "c.s")
-    n = F.size("s")
-    own = own.withColumn("at", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
-    runs = F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("bigint").alias("tf")))
-    counts = own.select("file_id", "doc_length", "chunk_id", F.explode(runs).alias("t")).select("t.term", "file_id", "chunk_id", "t.tf", "doc_length")
+    rows = _runs(chunks.select("file_id", "chunk_id", F.sort_array(tokens(F.col("content"), style)).alias("s")))
+    rows = rows.select("file_id", "chunk_id", F.array_join("terms", "\n").alias("words"), "counts").repartition("file_id")
+    whole = rows.groupBy("file_id", "chunk_id").agg(F.collect_list(F.when(F.size("counts") > 0, F.struct("words", "counts"))).alias("e")).where(F.size("e") > 0)
+    # Entries of one chunk, which are rare, are merged as tokens.
+    again = lambda x: F.flatten(F.transform(F.split(x["words"], "\n"), lambda w, k: F.array_repeat(w, F.get(x["counts"], k))))
+    both = _runs(whole.withColumn("s", F.when(F.size("e") > 1, F.sort_array(F.flatten(F.transform("e", again))))))
+    one = F.get("e", F.lit(0))
+    own = both.select("file_id", "chunk_id", F.coalesce("terms", F.split(one["words"], "\n")).alias("terms"), F.coalesce("counts", one["counts"]).alias("counts"))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    files = own.groupBy("file_id").agg(F.collect_list(F.struct("chunk_id", "terms", "counts")).alias("chunks"), F.sum(total).alias("length"))
+    df = files.select(F.explode(F.array_distinct(F.flatten("chunks.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rows = files.select("file_id", F.col("length").alias("doc_length"), F.explode("chunks").alias("c"))
+    flat = rows.select("file_id", "doc_length", "c.chunk_id", F.explode(F.arrays_zip("c.terms", "c.counts")).alias("t"))
+    counts = flat.select(F.col("t.terms").alias("term"), "file_id", "chunk_id", F.col("t.counts").cast("bigint").alias("tf"), "doc_length")
     return _blocks(counts, df, files.select("file_id", "length"), size)
 
 
 def _blocks(postings: DataFrame, df: DataFrame, lengths: DataFrame, size: int) -> DataFrame:
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    rows = postings.join(df, "term").crossJoin(F.broadcast(stats))
+    """Only postings of rare terms are shuffled for their frequencies, and the range shuffle takes counts, not impacts."""
+    stats = F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
+    weighed, often = df.crossJoin(stats), F.col("df") * OFTEN >= F.col("n")
+    known = F.broadcast(weighed.where(often))
+    rows = postings.join(known, "term").unionByName(postings.join(known.select("term"), "term", "left_anti").join(weighed.where(~often), "term"))
+    rows = rows.select("term", "chunk_id", F.nullif("file_id", "chunk_id").alias("file_id"), "tf", "doc_length", "df", "n", "mean")
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     impact = bm25.term_score(F.col("tf"), F.col("doc_length"), mean, bm25.idf(F.col("n"), F.col("df")))
-    order = [F.col("term"), F.col("impact").desc(), F.col("chunk_id")]
-    rows = rows.select("term", "chunk_id", "file_id", impact.alias("impact"))
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack(size), SCHEMA)
+    rows = rows.repartitionByRange("term", impact.desc(), "chunk_id").select("term", "chunk_id", "file_id", impact.alias("impact"))
+    rows = rows.sortWithinPartitions("term", F.col("impact").desc(), "chunk_id").withColumn("file_id", F.coalesce("file_id", "chunk_id"))
+    return rows.mapInArrow(_pack(size), SCHEMA)
 
 
 def _hits(rows: DataFrame, weights: dict[str, int]) -> DataFrame:

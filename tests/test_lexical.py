@@ -252,3 +252,40 @@ def test_a_query_cuts_texts_into_tokens_once(spark):
     rows = lambda df: [(r.chunk_id, round(r.score, 9)) for r in df.orderBy(F.round("score", 9).desc(), "chunk_id").collect()]
     assert rows(got) == rows(bm25.search(postings, ["alpha", "beta"], top_k=8)) and len(rows(got)) == 8
     assert "posexplode" not in got._jdf.queryExecution().toString()
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_blocks_shuffle_postings_of_frequent_terms_once(spark, tmp_path):
+    rnd = random.Random(12)
+    words = ["w%06d" % rnd.randrange(10**6) for _ in range(3000)]
+    rows = [(str(i), "d", str(i), " ".join(rnd.choices(words, k=200))) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "file_id string, dir_id string, chunk_id string, content string")
+    n = sum(len(set(r[3].split())) for r in rows)
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with vocabularies that are larger than it
+    try:
+        impact.blocks_of(chunks).write.parquet(str(tmp_path / "b"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < shuffled(spark) - before < 24 * n
+    assert spark.read.parquet(str(tmp_path / "b")).agg(F.sum("n")).first()[0] == n
+
+
+@pytest.mark.parametrize("often", [0, 1, 3, 1000])
+def test_blocks_of_rare_and_frequent_terms(spark, monkeypatch, often):
+    """Whether a term's frequency is broadcast or shuffled; several entries of a chunk count as one."""
+    monkeypatch.setattr(impact, "OFTEN", often)
+    rnd = random.Random(13)
+    rows = [(f"f{i % 40}", "d", f"f{i % 40}" if i % 40 < 9 else f"c{i % 80}", " ".join(rnd.choice(["all", "some%d" % (i % 3), "few%d" % (i % 20), "one%d" % i]) for _ in range(rnd.randint(0, 9)))) for i in range(120)] + [("none", "d", "none", None), ("f1", "d", "f1", "  ")]
+    chunks = spark.createDataFrame(rows, "file_id string, dir_id string, chunk_id string, content string")
+    posts, sizes = P.build(chunks), P.lengths(chunks)
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    score = bm25.term_score(F.col("tf"), F.col("doc_length"), F.col("mean"), bm25.idf(F.col("n"), F.col("df")))
+    want = sorted(map(tuple, posts.join(P.document_frequency(posts), "term").crossJoin(stats).select("term", "chunk_id", "file_id", F.round(score, 9)).collect()))
+    for made in (impact.blocks(posts, sizes, 4), impact.blocks_of(chunks, size=4)):
+        assert sorted((r.term, c, f, round(x, 9)) for r in made.collect() for c, f, x in zip(r.chunk_ids, r.file_ids, r.impacts)) == want
