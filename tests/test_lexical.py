@@ -289,3 +289,45 @@ def test_blocks_of_rare_and_frequent_terms(spark, monkeypatch, often):
     want = sorted(map(tuple, posts.join(P.document_frequency(posts), "term").crossJoin(stats).select("term", "chunk_id", "file_id", F.round(score, 9)).collect()))
     for made in (impact.blocks(posts, sizes, 4), impact.blocks_of(chunks, size=4)):
         assert sorted((r.term, c, f, round(x, 9)) for r in made.collect() for c, f, x in zip(r.chunk_ids, r.file_ids, r.impacts)) == want
+
+
+@pytest.mark.parametrize("block,pairs", [(1024, 1 << 20), (2, 3)])
+def test_many_keyword_queries_are_each_as_alone(spark, monkeypatch, block, pairs):
+    """Repeated, unknown, null and no terms; equal scores; chunk ids that two files share."""
+    monkeypatch.setattr(bm25, "PAIRS", pairs)
+    rows = [(f, "d", c, t) for f, _, c, t in made(60, 6)] + [(f, "d", "same", "w0 w1 other") for f in ("x", "y")] + [("z", "d", f"e{i}", "w3 equal") for i in range(9)]
+    posts = P.build(spark.createDataFrame(rows, "file_id string, dir_id string, chunk_id string, content string"))
+    asked = {1: ["w0", "w0", "w1"], 2: ["equal"], 3: ["none"], 4: ["w3", "w39", "other"], 5: [None, "w5"], 2**40: ["w0", "w1", "w2", "none"]}
+    queries = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    got = bm25.search_many(posts, queries, 6, block).collect()
+    for q, ts in asked.items():
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        every = sorted(((-round(r.score, 9), r.chunk_id, r.file_id) for r in bm25.search(posts, [t for t in ts if t]).collect()))
+        assert [(-round(r.score, 9), r.chunk_id) for r in own] == [x[:2] for x in every[:6]]
+        assert {(-round(r.score, 9), r.chunk_id, r.file_id) for r in own} <= set(every) and [r["rank"] for r in own] == list(range(1, len(own) + 1))
+    assert bm25.search_many(posts, queries.limit(0), 6).isEmpty() and bm25.search_many(posts.limit(0), queries, 6).isEmpty()
+
+
+def test_many_keyword_queries_shuffle_their_best_only(spark):
+    """Not every chunk that a query matches: that grows with queries times chunks."""
+    posts = P.build(spark.createDataFrame(made(600, 7), "file_id string, dir_id string, chunk_id string, content string"))
+    queries = spark.range(400).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("w0"), F.lit("w1"), F.concat(F.lit("w"), F.col("id") % 40))).alias("term"))
+    before = shuffled(spark)
+    assert bm25.search_many(posts, queries, 5).count() == 2000
+    assert shuffled(spark) - before < 1_000_000
+
+
+def test_lists_of_compared_methods_are_made_once(spark, monkeypatch):
+    from corpusq.operators import vectors
+    from corpusq.plans import retrieval
+
+    made_by, of = [], {}
+    for module, name in ((vectors, "knn_many"), (bm25, "search_many")):
+        of[name] = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, n=name, **b: made_by.append(n) or of[n](*a, **b))
+    df = spark.createDataFrame(made(60, 8), "file_id string, dir_id string, chunk_id string, content string")
+    vecs = df.select("chunk_id", F.array(F.lit(1.0), F.length("content").cast("double")).alias("embedding"))
+    queries = spark.createDataFrame([(i, "w1 w2", ["w1", "w2"], [1.0, float(i)]) for i in range(3)], "query_id int, text string, terms array<string>, vector array<double>")
+    expected = spark.createDataFrame([(i, str(i)) for i in range(3)], "query_id int, id string")
+    assert retrieval.compare(df, P.build(df), vecs, queries, expected, 5).count() == 3
+    assert sorted(made_by) == ["knn_many", "search_many"]
